@@ -17,8 +17,9 @@ from quayside.operators.joins import enrich
 def edit_table(spark: SparkSession, edits: list[dict]) -> DataFrame:
     """Rows ``(raw, clean)`` from edits of the form ``{"from": [...], "to": ...}``. A recipe
     is written by hand, so it is small enough to come from the driver."""
-    rows = [(raw, edit["to"]) for edit in edits for raw in edit["from"]]
-    return spark.createDataFrame(rows, "raw string, clean string")
+    rows = [F.struct(F.lit(raw).alias("raw"), F.lit(edit["to"]).alias("clean"))
+            for edit in edits for raw in edit["from"]]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def mass_edit(df: DataFrame, col: str, edits: DataFrame) -> DataFrame:

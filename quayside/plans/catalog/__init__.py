@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["scans", "projections", "scalars",
+FAMILIES = ["scans", "projections", "scalars", "joining", "aggregating", "sequences", "sampling", "naming", "composites",
 ]
 
 

@@ -28,7 +28,7 @@ SHIPMENT = {
     "supplier_key": "l_suppkey", "metric_tons": "l_quantity", "value_usd": "l_extendedprice",
     "discount": "l_discount", "tax": "l_tax", "status": "l_linestatus",
     "trade_direction": "case when l_returnflag = 'R' then 'Import' else 'Export' end",
-    "ship_date": "cast(l_shipdate as date)", "year": "year(l_shipdate)",
+    "ship_date": "cast(l_shipdate as date)", "year": "cast(year(l_shipdate) as int)",
 }
 
 

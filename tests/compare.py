@@ -14,6 +14,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+          "BOOLEAN": "boolean", "FLOAT": "float", "TIMESTAMP": "timestamp"}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for table in TABLES:
@@ -44,6 +48,11 @@ def differences(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str
     if sorted(names) != sorted(df.columns):
         return f"columns differ: spark {sorted(df.columns)}, sql {sorted(names)}"
     order = sorted(names)
+    theirs_types = {d[0]: _TYPES.get(str(d[1]), str(d[1])) for d in result.description}
+    ours_types = {n: k.replace("_ntz", "") for n, k in df.dtypes}
+    wrong = {n: (ours_types[n], theirs_types[n]) for n in order if ours_types[n] != theirs_types[n]}
+    if wrong:
+        return f"types differ (spark, sql): {wrong}"
     theirs = Counter(tuple((type(v).__name__, _plain(v)) for v in (row[names.index(n)] for n in order))
                      for row in result.fetchall())
     ours = Counter(tuple((type(v).__name__, _plain(v)) for v in row) for row in df.select(*order).collect())
