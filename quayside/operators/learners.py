@@ -38,8 +38,13 @@ BOOSTED_SPACE = {
 }
 
 
+# Memory for split statistics per task: more lets one pass over the rows grow more nodes.
+SPLIT_MEMORY_MB = 1024
+
+
 def random_forest(target: str, trees: int = 100, depth: int = 10, seed: int = SEED) -> RandomForestRegressor:
-    return RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed)
+    return RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, seed=seed,
+                                 maxMemoryInMB=SPLIT_MEMORY_MB)
 
 
 def linear(target: str, l1_ratio: float = 1.0, alpha: float = 0.001, max_iter: int = 100) -> LinearRegression:
@@ -53,7 +58,7 @@ def boosted(target: str, seed: int = SEED, **params) -> GBTRegressor:
     """Gradient boosted trees; ``featureSubset`` is the share of features tried per split."""
     if "featureSubset" in params:
         params["featureSubsetStrategy"] = str(params.pop("featureSubset"))
-    return GBTRegressor(labelCol=target, seed=seed, **params)
+    return GBTRegressor(labelCol=target, seed=seed, maxMemoryInMB=SPLIT_MEMORY_MB, **params)
 
 
 def fit_random_forest(train: DataFrame, target: str, **params) -> Model:
@@ -127,8 +132,8 @@ def random_search(train: DataFrame, valid: DataFrame, target: str, space: dict[s
                   trials: int = 100, seed: int = SEED, log: str | None = None, parallelism: int = 2,
                   make: Callable[..., Estimator] = boosted) -> DataFrame:
     """Trial table ``loss, params, iteration, train_time``; the loss is the mean absolute
-    error on ``valid``. With ``log`` every trial is appended there as it ends, and trials
-    the log already has are not run again."""
+    error on ``valid``. With ``log`` every trial is added there as it ends, in a folder of
+    its own since trials end at the same time, and trials the log has are not run again."""
     spark = train.sparkSession
     schema = "loss double, params string, iteration int, train_time double"
     done: set[int] = set()
@@ -142,13 +147,15 @@ def random_search(train: DataFrame, valid: DataFrame, target: str, space: dict[s
         loss = regression_metrics(model.transform(valid), target, "prediction").first().mae
         row = spark.createDataFrame([(float(loss), json.dumps(params), trial, time.time() - start)], schema)
         if log:
-            row.coalesce(1).write.mode("append").parquet(log)
+            row.drop("iteration").coalesce(1).write.mode("overwrite").parquet(f"{log}/iteration={trial}")
         return row
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = list(pool.map(one, [t for t in range(1, trials + 1) if t not in done]))
     if log:
         return spark.read.schema(schema).parquet(log)
+    if not rows:
+        return spark.createDataFrame([], schema)
     out = rows[0]
     for row in rows[1:]:
         out = out.unionByName(row)

@@ -104,8 +104,9 @@ def cluster_similar(df: DataFrame, col: str, max_distance: int = 1) -> DataFrame
     right = forms.withColumnsRenamed({"name": "right", "form": "form_r"})
     candidates = left.join(right, (F.col("form") == F.col("form_r")) & (F.col("left") < F.col("right"))) \
         .select("left", "right").distinct()
-    distance = F.levenshtein("left", "right")
-    return candidates.withColumn("distance", distance).filter(F.col("distance") <= max_distance)
+    # -1 beyond the limit
+    distance = F.levenshtein("left", "right", max_distance)
+    return candidates.withColumn("distance", distance).filter(F.col("distance") >= 0)
 
 
 def canonical_name(clusters: DataFrame, group: str = "cluster", name: str = "name", n: str = "n") -> DataFrame:

@@ -24,13 +24,12 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None
     high = [min(1.0, p + pad) for p in probs]
     bounds = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min(col).alias("_min"), F.max(col).alias("_max"),
-        F.percentile_approx(col, low, accuracy).alias("_low"),
-        F.percentile_approx(col, high, accuracy).alias("_high"))
+        F.percentile_approx(col, low + high, accuracy).alias("_p"))
     small = F.col("_n") < accuracy
     brackets = bounds.select(*by, F.array(*(
         F.struct(F.lit(p).alias("prob"), (F.lit(p) * (F.col("_n") - 1)).alias("_rank"),
-                 F.when(small, F.col("_min")).otherwise(F.col("_low")[i]).alias("_lo"),
-                 F.when(small, F.col("_max")).otherwise(F.col("_high")[i]).alias("_hi"))
+                 F.when(small, F.col("_min")).otherwise(F.col("_p")[i]).alias("_lo"),
+                 F.when(small, F.col("_max")).otherwise(F.col("_p")[len(probs) + i]).alias("_hi"))
         for i, p in enumerate(probs))).alias("_b"))
     rows = df.join(brackets, by, "inner") if by else df.withColumn("_b", brackets.scalar())
     rows = rows.select(*by, F.col(col).alias("_x"), F.explode("_b").alias("_e")).select(*by, "_x", "_e.*")

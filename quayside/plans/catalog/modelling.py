@@ -66,13 +66,10 @@ def standard_scale(t):
 @query("inverse_scale", f"""
     select {KEY}, metric_tons, round(metric_tons, 6) as restored from {shipments_sql()}""")
 def inverse_scale(t):
-    s = t.shipments().select(*SHIPMENT_KEY, "metric_tons")
+    s = t.shipments().select(*SHIPMENT_KEY, "metric_tons", F.col("metric_tons").alias("restored"))
+    scaled = features.minmax_apply(s, features.minmax_fit(s, ["restored"]), ["restored"])
     bounds = features.minmax_fit(s, ["metric_tons"])
-    scaled = features.minmax_apply(s.withColumn("restored", F.col("metric_tons")).drop("metric_tons"),
-                                   bounds.withColumnsRenamed({"metric_tons_min": "restored_min", "metric_tons_max": "restored_max"}),
-                                   ["restored"])
-    back = features.inverse_scale(scaled, bounds, "metric_tons", ["restored"])
-    return rounded(back.join(s, SHIPMENT_KEY), 6, "restored")
+    return rounded(features.inverse_scale(scaled, bounds, "metric_tons", ["restored"]), 6, "restored")
 
 
 @query("question_dataset", f"""

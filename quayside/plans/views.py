@@ -6,9 +6,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# The four columns that tell shipment rows apart.
+# The columns that name a shipment row.
 SHIPMENT_KEY = ["order_key", "line_number", "part_key", "supplier_key"]
 
+# Line numbers repeat, so draws by hash also use the date to tell rows apart.
+DRAW_KEY = [*SHIPMENT_KEY, "ship_date"]
+
 SIDES = {
     "part": ("part_key", "part", "p_partkey"),
     "supplier": ("supplier_key", "supplier", "s_suppkey"),

@@ -21,6 +21,7 @@ from quayside.operators.joins import enrich, keep_qualifying, keyed, outer_perio
 from quayside.operators.outliers import outlier_chain
 from quayside.operators.sets import union_conformed
 from quayside.operators.windows import pct_from_baseline
+from quayside.session import settle
 from quayside.sources.schemas import EXPORT_COLUMNS, IMPORT_COLUMNS
 
 
@@ -133,25 +134,36 @@ def weekly_shocks(fact: DataFrame, weekly: DataFrame, state: str = "us_port_stat
     return joined.withColumns({**zeros, **counts, **year})
 
 
-def baseline_change(df: DataFrame, entity: str, time: str, value: str, first_time: str, first_value: str,
-                    pct: str) -> DataFrame:
+def first_period_change(df: DataFrame, entity: str, time: str, value: str, first_time: str, first_value: str,
+                        pct: str) -> DataFrame:
     """First period with a nonzero value per entity, the value then, and the percent change
-    from it, on the rows of that calendar year; fillers on rows without a period."""
-    dated = df.filter(F.col(time).isNotNull())
-    per_period = dated.groupBy(entity, time).agg(F.min(value).alias("_v"))
+    from it, on the rows of that calendar year."""
+    per_period = df.filter(F.col(time).isNotNull()).groupBy(entity, time).agg(F.min(value).alias("_v"))
     # nonzero periods sort before zero ones, then the earliest
     first = F.min(F.struct(F.coalesce(F.col("_v") == 0, F.lit(True)).alias("zero"), F.col(time).alias("t"),
                            F.col("_v").alias("v")))
     base = per_period.groupBy(entity).agg(first.alias("f")).select(
-        entity, F.year("f.t").alias("_year"), F.col("f.t").alias(first_time), F.col("f.v").alias(first_value))
+        entity, F.year("f.t").alias("_year"), F.col("f.t").cast("string").alias(first_time), F.col("f.v").alias(first_value))
     joined = enrich(df.withColumn("_y", F.year(time)), base, {entity: entity, "_y": "_year"}).drop("_y")
+    return joined.withColumn(pct, pct_from_baseline(value, first_value))
+
+
+def fill_undated(df: DataFrame, time: str, first_time: str, first_value: str, pct: str) -> DataFrame:
+    """Fillers for the baseline columns on rows without a period."""
     undated = F.col(time).isNull()
-    return joined.withColumns({
-        pct: F.when(undated, F.lit(0.0)).otherwise(pct_from_baseline(value, first_value)),
-        first_time: F.when(undated, fixed.NOT_APPLICABLE).otherwise(F.col(first_time).cast("string")),
+    return df.withColumns({
+        pct: F.when(undated, F.lit(0.0)).otherwise(F.col(pct)),
+        first_time: F.when(undated, fixed.NOT_APPLICABLE).otherwise(F.col(first_time)),
         first_value: F.when(undated, F.lit(0)).otherwise(F.col(first_value))})
 
 
+def baseline_change(df: DataFrame, entity: str, time: str, value: str, first_time: str, first_value: str,
+                    pct: str) -> DataFrame:
+    """First-period baseline and percent change, with fillers on rows without a period."""
+    return fill_undated(first_period_change(df, entity, time, value, first_time, first_value, pct),
+                        time, first_time, first_value, pct)
+
+
 def closure_lead(df: DataFrame, announced: str = "date_announced", effective: str = "effective_date",
                  fmt: str = "M/d/yyyy") -> DataFrame:
     """Days from announcement to effect, null where a date is missing or reads ``NA``."""
@@ -205,32 +217,45 @@ def add_regions(fact: DataFrame, regions: DataFrame) -> DataFrame:
     return enrich(out, names, {"foreign_company_country_clustered": "name"}, "left", role="foreign_company_country_")
 
 
+# Value column and baseline columns of the two weekly counts.
+BASELINES = {
+    "cases_weekly": ("time0_state_case", "cases_state_firstweek", "cases_pctdelta"),
+    "deaths_weekly": ("time0_state_death", "deaths_state_firstweek", "deaths_pctdelta"),
+}
+
+
 def build_warehouse(imports: DataFrame, exports: DataFrame, side: SideTables,
                     min_total: float = fixed.MIN_ENTITY_TONS) -> DataFrame:
-    """The whole build, one lazy plan."""
+    """The whole build.
+
+    The fact is written to the shared folder twice: before the company totals and after
+    the outlier passes. Both parts read their input several times, and a table costs less
+    than the joins and the distinct before it. Baselines depend on the weekly counts
+    alone, so they are taken there, on a few rows per state, and come along in the join.
+    """
     fact = parse_parties(classify_products(build_fact(imports, exports), side.hs_groups.drop("description")))
     fact = add_regions(standardise_names(fact, side), side.regions)
     fact = fact.withColumns({
         "us_port_state": port_state("us_port_clustered"),
         "foreign_country_clustered": recode("foreign_country_clustered", fixed.COUNTRY_NAMES),
         "foreign_company_country_clustered": recode("foreign_company_country_clustered", fixed.COUNTRY_NAMES)})
-    # from here on only what the warehouse keeps or still needs
-    fact = dedupe(fact.drop("us_company_state", "us_company_agg"))
+    fact = settle(dedupe(fact.drop("us_company_state", "us_company_agg")), "conformed")
     fact = size_entities(fact, "us_company_clustered", "us_company_size", least=min_total)
     fact = size_entities(fact, "foreign_company_clustered", "foreign_company_size", least=min_total)
     fact = outlier_chain(fact, [("z", "metric_tons", fixed.OUTLIER_Z), ("cap", "metric_tons", fixed.MAX_SHIPMENT_TONS),
                                 ("z", "teus", fixed.OUTLIER_Z), ("z", "tcvusd", fixed.OUTLIER_Z)])
+    fact = settle(fact, "cleaned")
     fact = time_features(fact.withColumn("ship_date", parse_date("date", "yyyyMMdd")).drop("date"), "ship_date")
     fact = enrich_economic(fact, side.unemployment, side.tariffs, side.currencies) \
         .drop("hs_class", "year_month", "foreign_country_clustered")
     states = keyed(side.states.select("state", "state_code", "state_region"), "state_code")
     fact = enrich(fact, states, {"us_port_state": "state_code"})
     fact = preserve_dim(fact, keyed(side.closures, "state"), {"state": "state"})
-    fact = weekly_shocks(fact, weekly_cases(side.cases, side.states))
-    fact = closure_lead(fact)
-    fact = baseline_change(fact, "us_port_state", "date_weekly", "cases_weekly", "time0_state_case",
-                           "cases_state_firstweek", "cases_pctdelta")
-    fact = baseline_change(fact, "us_port_state", "date_weekly", "deaths_weekly", "time0_state_death",
-                           "deaths_state_firstweek", "deaths_pctdelta")
+    weekly = weekly_cases(side.cases, side.states)
+    for value, names in BASELINES.items():
+        weekly = first_period_change(weekly, "state_code", "date_weekly", value, *names)
+    fact = closure_lead(weekly_shocks(fact, weekly))
+    for names in BASELINES.values():
+        fact = fill_undated(fact, "date_weekly", *names)
     return dedupe(fact.drop("vin_quantity", "us_company_clustered", "foreign_company_clustered",
                             "foreign_company_country_clustered", "us_port_state"))

@@ -50,13 +50,14 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, spread_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage in a way that survives executor loss, and fixes values such as
-    partition ids that could differ if the plan ran twice.
+    partition ids that could differ if the plan ran twice. ``spread_by`` deals the rows
+    out by the hash of a key first: worth a shuffle when many passes over the table follow.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, label)
-    df.write.parquet(path)
+    (df.repartition(*spread_by) if spread_by else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
