@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quayside import fixed_values as fixed
 from quayside.functions.numbers import bin_by_thresholds, code_is_mixed, recode, to_flag, to_number, yes_no_to_bool
@@ -22,7 +22,8 @@ from quayside.operators.outliers import outlier_chain
 from quayside.operators.sets import union_conformed
 from quayside.operators.windows import pct_from_baseline
 from quayside.session import settle
-from quayside.sources.schemas import EXPORT_COLUMNS, IMPORT_COLUMNS
+from quayside.sources import schemas
+from quayside.sources.files import read_dim, read_shipments
 
 
 def from_titles(raw: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
@@ -193,6 +194,39 @@ class SideTables:
     cases: DataFrame
 
 
+# Schema, key and null text of the file behind each side table.
+SIDE_FILES = {
+    "hs_groups": (schemas.HS_GROUPS, "hs_class", ""),
+    "us_companies": (schemas.US_COMPANIES, "us_company", ""),
+    "foreign_companies": (schemas.FOREIGN_COMPANIES, "foreign_company", ""),
+    "carriers": (schemas.CARRIERS, "carrier", ""),
+    "us_ports": (schemas.US_PORTS, "us_port", ""),
+    "company_countries": (schemas.COMPANY_COUNTRIES, "foreign_company_country", ""),
+    "countries": (schemas.COUNTRIES, "foreign_country", ""),
+    "regions": (schemas.COUNTRY_REGIONS, "name", ""),
+    "unemployment": (schemas.UNEMPLOYMENT, "year_month", ""),
+    "tariffs": (schemas.TARIFFS, "country", ""),
+    "currencies": (schemas.CURRENCIES, "country", ""),
+    "states": (schemas.STATES, "state", ""),
+    "closures": (schemas.CLOSURES, "state", "NA"),
+    "cases": (schemas.COUNTY_CASES, "state", ""),
+}
+
+
+def read_side_tables(spark: SparkSession, paths: dict[str, str]) -> SideTables:
+    """Side tables from their CSV files, ``{field: path}``."""
+    return SideTables(**{name: read_dim(spark, paths[name], schema, key, null_value=null)
+                         for name, (schema, key, null) in SIDE_FILES.items()})
+
+
+def read_imports(spark: SparkSession, path: str) -> DataFrame:
+    return from_titles(read_shipments(spark, path, schemas.IMPORTS), schemas.IMPORT_COLUMNS)
+
+
+def read_exports(spark: SparkSession, path: str) -> DataFrame:
+    return from_titles(read_shipments(spark, path, schemas.EXPORTS), schemas.EXPORT_COLUMNS)
+
+
 def standardise_names(fact: DataFrame, side: SideTables) -> DataFrame:
     """Curated names instead of raw ones; rows with a name no map has are dropped."""
     out = standardise(fact, keyed(side.us_companies, "us_company"), "us_company", "us_company_clustered")

@@ -70,6 +70,9 @@ COMPANY_COUNTRIES = _schema(foreign_company_country="s", name="s", code="s", con
 COUNTRIES = _schema(foreign_country="s", name="s", code="s", continent="s")
 US_PORTS = _schema(us_port="s", us_port_clustered="s", state_code="s", us_port_coastal_region="s")
 US_PORTS_UNBINNED = _schema(us_port="s", us_port_clustered="s", state_code="s")
+US_COMPANIES = _schema(us_company="s", us_company_clustered="s")
+FOREIGN_COMPANIES = _schema(foreign_company="s", foreign_company_clustered="s")
+CARRIERS = _schema(carrier="s", carrier_clustered="s", carrier_size="s")
 TARIFFS = _schema(country="s", hs_family="i", tariff_year="i", average_tariff="s",
                   free_trade_agreement_with_us="s", european_union="s")
 CURRENCIES = _schema(month="s", exchange_year="i", month_year="s", open="d", high="d", low="d", price="d",
