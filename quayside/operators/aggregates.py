@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, functions as F
 
 from quayside.functions.timekeys import month_key, week_ending_monday
+from quayside.operators.joins import measured
 
 
 def totals_over(df: DataFrame, key: str, measure: str, least: float, total: str = "total") -> DataFrame:
@@ -104,8 +105,7 @@ def best_by(df: DataFrame, metric: str, tie: str, by: list[str] | None = None) -
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Counts in ``bins`` equal-width bins between the extremes; the last one is closed."""
-    bounds = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).select(F.struct("lo", "hi").alias("b"))
-    b = bounds.scalar()
+    b = measured(df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))).select(F.struct("lo", "hi")).scalar()
     lo, hi = b["lo"], b["hi"]
     # a column of one value has no width: everything is in bin 1
     bucket = F.when(lo == hi, 1).otherwise(

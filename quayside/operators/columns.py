@@ -38,12 +38,17 @@ def filter_in(df: DataFrame, col: str, values: list) -> DataFrame:
     return df.filter(F.col(col).isin(values))
 
 
-def year_slice(df: DataFrame, first: int | None = None, last: int | None = None, col: str = "year") -> DataFrame:
-    """Years ``first..last``, both included; reaches the scan as a partition or row-group filter."""
+def year_slice(df: DataFrame, first: int | None = None, last: int | None = None, col: str = "year",
+               date: str | None = None) -> DataFrame:
+    """Years ``first..last``, both included. On a table written by year the filter skips
+    folders; where the year is only computed from a date, name the ``date`` column, so that
+    the bounds reach the scan as bounds of the date."""
+    start_of = (lambda y: F.make_date(F.lit(y), F.lit(1), F.lit(1))) if date else F.lit
+    by = F.col(date or col)
     if first is not None:
-        df = df.filter(F.col(col) >= first)
+        df = df.filter(by >= start_of(first))
     if last is not None:
-        df = df.filter(F.col(col) <= last)
+        df = df.filter(by < start_of(last + 1))
     return df
 
 

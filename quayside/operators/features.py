@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quayside.operators.columns import drop_columns, require
+from quayside.operators.joins import measured
 
 
 def ordinal_encode(df: DataFrame, col: str, order: list[str], out: str | None = None) -> DataFrame:
@@ -52,8 +53,8 @@ def dummy_pipeline(cols: list[str], drop_first: bool = True) -> Pipeline:
 
 
 def minmax_fit(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row of bounds."""
-    return df.agg(*(e for c in cols for e in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))))
+    """One row of bounds, computed once."""
+    return measured(df.agg(*(e for c in cols for e in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")))))
 
 
 def minmax_apply(df: DataFrame, bounds: DataFrame, cols: list[str]) -> DataFrame:
@@ -65,9 +66,9 @@ def minmax_apply(df: DataFrame, bounds: DataFrame, cols: list[str]) -> DataFrame
 
 
 def standard_fit(df: DataFrame, cols: list[str], population: bool = True) -> DataFrame:
-    """One row of means and standard deviations."""
+    """One row of means and standard deviations, computed once."""
     sd = F.stddev_pop if population else F.stddev_samp
-    return df.agg(*(e for c in cols for e in (F.avg(c).alias(f"{c}_mean"), sd(c).alias(f"{c}_sd"))))
+    return measured(df.agg(*(e for c in cols for e in (F.avg(c).alias(f"{c}_mean"), sd(c).alias(f"{c}_sd")))))
 
 
 def standard_apply(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:

@@ -3,7 +3,8 @@
 No join here carries a broadcast hint: Spark broadcasts a side only when its size is
 below ``spark.sql.autoBroadcastJoinThreshold``, from file statistics before and from
 measured shuffle sizes during the run, and uses a sort-merge join with adaptive skew
-splitting beyond it. Adaptive execution splits hot keys of inner, left and semi joins
+splitting beyond it. A side that is computed first has no file size and would be guessed to be as
+large as its input, so :func:`measured` writes it once. Adaptive execution splits hot keys of inner, left and semi joins
 only, so the outer variants below are built from those.
 """
 
@@ -13,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quayside.session import settle
+
 Keys = dict[str, str]
 
 
@@ -33,6 +36,16 @@ def keyed(dim: DataFrame, *keys: str) -> DataFrame:
     return dim.na.drop(subset=list(keys)).dropDuplicates()
 
 
+def measured(side: DataFrame) -> DataFrame:
+    """A computed side as a table in the shared folder, so that the planner knows its size.
+
+    When it is small, Spark broadcasts it by its own limit and the fact is neither shuffled
+    nor skewed by hot keys; when it is not, the join is a shuffled one. Also the way to
+    use a side more than once without computing it again. Runs a job.
+    """
+    return settle(side, "side")
+
+
 def enrich(df: DataFrame, dim: DataFrame, on: Keys, how: str = "left", null_safe: bool = False,
            role: str = "") -> DataFrame:
     """Attributes of ``dim`` added to the fact. ``on`` maps fact columns to dimension
@@ -87,7 +100,7 @@ def preserve_dim(df: DataFrame, dim: DataFrame, on: Keys) -> DataFrame:
 def outer_period_join(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
     """Full outer join on shared key columns: all fact rows, and all side rows of periods
     without trade. Left join and leftovers, for the reason given in :func:`preserve_dim`."""
-    keys = {c: c for c in on}
+    side, keys = measured(side), {c: c for c in on}
     matched = enrich(df, side, keys, "left")
     return matched.unionByName(_without_match(side, df, keys), allowMissingColumns=True)
 

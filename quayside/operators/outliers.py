@@ -1,4 +1,5 @@
-"""z-score filters. Moments enter as scalar subqueries: no join, no window over all rows."""
+"""z-score filters. Moments are computed first, one aggregate per pass, and enter as scalar
+subqueries over a one-row table: no join, no window over all rows."""
 
 from __future__ import annotations
 
@@ -7,13 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 from quayside.fixed_values import OUTLIER_Z
 from quayside.operators.aggregates import moments
 from quayside.operators.columns import cap
-from quayside.operators.joins import enrich
+from quayside.operators.joins import enrich, measured
 
 
 def drop_outliers(df: DataFrame, col: str, k: float = OUTLIER_Z, by: list[str] | None = None) -> DataFrame:
     """Rows closer than ``k`` sample standard deviations to the mean, of all rows or of
     their group. A column of one value keeps nothing, as a z-score of 0/0 is no number."""
-    stats = moments(df, [col], by)
+    stats = measured(moments(df, [col], by))
     if by:
         joined = enrich(df, stats, {c: c for c in by}, "inner")
         near = F.abs(F.col(col) - F.col(f"{col}_mean")) < k * F.col(f"{col}_sd")

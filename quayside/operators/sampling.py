@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quayside.fixed_values import SEED
-from quayside.operators.joins import enrich
+from quayside.operators.joins import enrich, measured
 
 # Hex digits of the hash that form a bucket: 16**4 buckets.
 BUCKET_DIGITS = 4
@@ -32,20 +32,17 @@ def take_by_hash(df: DataFrame, by: list[str], quota: Column, key: list[str], se
     """
     hashes = df.select(*by, row_hash(key, seed).alias("_h")).withColumn("_bucket", F.left("_h", F.lit(BUCKET_DIGITS)))
     counts = hashes.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    upto = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    summed = counts.withColumn("_upto", F.sum("_c").over(upto))
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*by, quota.cast("long").alias("_quota"))
-    strata = {c: c for c in by}
-    if by:
-        summed = enrich(summed, totals, strata, "inner", null_safe=True)
-    else:
-        summed = summed.withColumn("_quota", totals.scalar())
+    # windows over the buckets of a stratum, not over its rows
+    stratum = W.partitionBy(*by)
+    upto = F.sum("_c").over(stratum.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
+    summed = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(stratum)}).withColumn("_quota", quota.cast("long"))
     before = F.col("_upto") - F.col("_c")
-    cut = (summed.filter((before < F.col("_quota")) & (F.col("_upto") >= F.col("_quota")))
-           .select(*by, "_bucket", (F.col("_quota") - before).alias("_left")))
+    cut = measured(summed.filter((before < F.col("_quota")) & (F.col("_upto") >= F.col("_quota")))
+                   .select(*by, "_bucket", (F.col("_quota") - before).alias("_left")))
+    strata = {c: c for c in by}
     edge = enrich(hashes, cut, {**strata, "_bucket": "_bucket"}, "inner", null_safe=bool(by))
     ranked = edge.withColumn("_rank", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_h")))
-    last = ranked.filter(F.col("_rank") == F.col("_left")).select(*by, F.col("_h").alias("_last"))
+    last = measured(ranked.filter(F.col("_rank") == F.col("_left")).select(*by, F.col("_h").alias("_last")))
     if by:
         marked = enrich(df, last, strata, "left", null_safe=True)
     else:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quayside.operators.joins import measured
 from quayside.session import settle
 
 
@@ -99,7 +100,7 @@ def row_numbers(df: DataFrame, order: list[Column], out: str = "rank") -> DataFr
     counts = placed.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition of the sort
     before = W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = measured(counts.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
     joined = placed.withColumn("_piece", piece).join(offsets, "_piece")
     position = F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
     return joined.withColumn(out, position).drop("_piece", "_at", "_offset")

@@ -112,9 +112,8 @@ SIZE_EDGES = [1000, 2000, 10000, 20000]
     select us_company, us_company_size, foreign_company, foreign_company_size, count(*) as n,
         round(sum(metric_tons), 4) as metric_tons from a join f using (foreign_company) group by all""")
 def entity_sizing(t):
-    sized = warehouse.size_entities(t.shipments("supplier", "customer"), "us_company", "us_company_size",
-                                    least=15000, edges=SIZE_EDGES)
-    sized = warehouse.size_entities(sized, "foreign_company", "foreign_company_size", least=500, edges=SIZE_EDGES)
+    sized = warehouse.size_entities(t.shipments("supplier", "customer"), {
+        "us_company": "us_company_size", "foreign_company": "foreign_company_size"}, least=[15000, 500], edges=SIZE_EDGES)
     return sized.groupBy("us_company", "us_company_size", "foreign_company", "foreign_company_size").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("metric_tons"), 4).alias("metric_tons"))
 

@@ -21,8 +21,8 @@ GROUPS_SQL = f"""(select cast(replace(p_brand, 'Brand#', '') as int) as hs_class
 
 def _groups(t):
     hs_class = F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int")
-    return t.part.groupBy(hs_class.alias("hs_class")).agg(F.min("p_type").alias("group_name")) \
-        .filter(F.col("hs_class").isin(HS_CLASSES))
+    return joins.measured(t.part.groupBy(hs_class.alias("hs_class")).agg(F.min("p_type").alias("group_name"))
+                          .filter(F.col("hs_class").isin(HS_CLASSES)))
 
 
 @query("join_left_dim", f"""
@@ -75,7 +75,7 @@ def join_qualifying(t):
     s = t.shipments()
     entities = totals_over(s, "part_key", "metric_tons", 700).select(
         "part_key", bin_by_thresholds("total", [800, 900, 1000, 1100], SIZE_LABELS).alias("size"))
-    return joins.keep_qualifying(s, entities, "part_key").select(*SHIPMENT_KEY, "size")
+    return joins.keep_qualifying(s, joins.measured(entities), "part_key").select(*SHIPMENT_KEY, "size")
 
 
 @query("semi_qualifying", f"""
@@ -84,7 +84,7 @@ def join_qualifying(t):
 def semi_qualifying(t):
     s = t.shipments()
     entities = totals_over(s, "part_key", "metric_tons", 700)
-    return joins.semi_qualifying(s, entities, {"part_key": "part_key"}).select(*SHIPMENT_KEY, "metric_tons")
+    return joins.semi_qualifying(s, joins.measured(entities), {"part_key": "part_key"}).select(*SHIPMENT_KEY, "metric_tons")
 
 
 RATE_SQL = """(select cast(date_trunc('month', o_orderdate) as date) as month, max(o_totalprice) as rate
@@ -98,7 +98,7 @@ def join_month(t):
     rates = t.orders.groupBy(month_key(F.col("o_orderdate").cast("date")).alias("month")) \
         .agg(F.max("o_totalprice").alias("rate"))
     s = t.shipments().withColumn("year_month", month_key("ship_date"))
-    return joins.enrich(s, rates, {"year_month": "month"}, "inner").select(*SHIPMENT_KEY, "rate")
+    return joins.enrich(s, joins.measured(rates), {"year_month": "month"}, "inner").select(*SHIPMENT_KEY, "rate")
 
 
 TARIFF_SQL = f"""(select foreign_nation as country, hs_class as hs_family, year as tariff_year, max(tax) as average_tariff
@@ -116,7 +116,7 @@ def join_three_keys(t):
         F.col("foreign_nation").alias("country"), F.col("hs_class").alias("hs_family"), F.col("year").alias("tariff_year")) \
         .agg(F.max("tax").alias("average_tariff"))
     on = {"foreign_nation": "country", "hs_class": "hs_family", "year": "tariff_year"}
-    return joins.enrich(s, tariffs, on).groupBy("hs_class", "year").agg(
+    return joins.enrich(s, joins.measured(tariffs), on).groupBy("hs_class", "year").agg(
         F.count(F.lit(1)).alias("n"), F.count("average_tariff").alias("n_with_tariff"),
         F.round(F.sum(F.col("average_tariff") * F.col("metric_tons")), 3).alias("duty"))
 
@@ -133,7 +133,7 @@ def join_two_keys(t):
                 .groupBy(F.col("c_nationkey").alias("country"), month_key(F.col("o_orderdate").cast("date")).alias("month"))
                 .agg(F.max("o_totalprice").alias("price")))
     s = t.shipments("customer").withColumn("year_month", month_key("ship_date"))
-    priced = joins.enrich(s, currency, {"foreign_nation": "country", "year_month": "month"})
+    priced = joins.enrich(s, joins.measured(currency), {"foreign_nation": "country", "year_month": "month"})
     return priced.groupBy("foreign_nation", "year").agg(
         F.count(F.lit(1)).alias("n"), F.count("price").alias("n_priced"), F.round(F.sum("price"), 2).alias("price"))
 
@@ -188,9 +188,9 @@ def join_full_outer_week(t):
     from yearly y join first f on y.nation = f.nation and y.hs_class = f.hs_class
     join yearly b on b.nation = f.nation and b.hs_class = f.hs_class and b.year = f.first_year""")
 def join_first_period(t):
-    yearly = t.shipments("part", "customer").groupBy(
-        F.col("foreign_nation").alias("nation"), "hs_class", "year").agg(
-        F.round(F.sum(F.when(F.col("status") == "F", F.col("metric_tons")).otherwise(0)), 4).alias("tons"))
+    tons = F.sum(F.when(F.col("status") == "F", F.col("metric_tons")).otherwise(0))
+    yearly = joins.measured(t.shipments("part", "customer").groupBy(
+        F.col("foreign_nation").alias("nation"), "hs_class", "year").agg(F.round(tons, 4).alias("tons")))
     entity = F.struct("nation", "hs_class")
     first = first_nonzero(yearly.withColumn("entity", entity), "entity", "year", "tons", "first_year") \
         .select("entity.*", "first_year")
@@ -230,4 +230,4 @@ def join_null_safe(t):
     rows = t.orders.select(F.col("o_orderkey").alias("order_key"), F.nullif("o_orderstatus", F.lit("P")).alias("status"),
                            "o_orderpriority")
     labels = rows.groupBy("status").agg(F.min("o_orderpriority").alias("label"))
-    return joins.enrich(rows.drop("o_orderpriority"), labels, {"status": "status"}, "inner", null_safe=True)
+    return joins.enrich(rows.drop("o_orderpriority"), joins.measured(labels), {"status": "status"}, "inner", null_safe=True)

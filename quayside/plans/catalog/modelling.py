@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quayside.fixed_values import SIZE_ORDER
 from quayside.operators import evaluation, features
 from quayside.operators.aggregates import corr_matrix
+from quayside.operators.columns import year_slice
 from quayside.plans.catalog.aggregating import rounded
 from quayside.plans.catalog.projections import KEY, NULLED_SQL, _nulled
 from quayside.plans.registry import query
@@ -46,8 +47,8 @@ TRAIN_SQL = f"(select * from {shipments_sql()} where year < 2000)"
     from {shipments_sql()}, b where year >= 2000""")
 def minmax_scale(t):
     s = t.shipments()
-    bounds = features.minmax_fit(s.filter("year < 2000"), SCALED)
-    test = s.filter("year >= 2000").select(*SHIPMENT_KEY, *SCALED)
+    bounds = features.minmax_fit(year_slice(s, last=1999, date="ship_date"), SCALED)
+    test = year_slice(s, 2000, date="ship_date").select(*SHIPMENT_KEY, *SCALED)
     return rounded(features.minmax_apply(test, bounds, SCALED), 9, *SCALED)
 
 
@@ -58,8 +59,8 @@ def minmax_scale(t):
     from {shipments_sql()}, b where year >= 2000""")
 def standard_scale(t):
     s = t.shipments()
-    stats = features.standard_fit(s.filter("year < 2000"), SCALED)
-    test = s.filter("year >= 2000").select(*SHIPMENT_KEY, *SCALED)
+    stats = features.standard_fit(year_slice(s, last=1999, date="ship_date"), SCALED)
+    test = year_slice(s, 2000, date="ship_date").select(*SHIPMENT_KEY, *SCALED)
     return rounded(features.standard_apply(test, stats, SCALED), 7, *SCALED)
 
 
@@ -117,10 +118,10 @@ def regression_metrics(t):
 def cross_period_matrix(t):
     s = t.shipments()
     # one line per training year; they come as an array on each test row
-    lines = s.filter("year between 1998 and 2000").groupBy(F.col("year").alias("train_set")).agg(
+    lines = year_slice(s, 1998, 2000, date="ship_date").groupBy(F.col("year").alias("train_set")).agg(
         F.regr_slope("value_usd", "metric_tons").alias("s"), F.regr_intercept("value_usd", "metric_tons").alias("i"))
     models = lines.agg(F.collect_list(F.struct("train_set", "s", "i")).alias("models")).scalar()
-    test = s.filter("year between 1999 and 2001").select(F.col("year").alias("test_set"), "metric_tons", "value_usd",
+    test = year_slice(s, 1999, 2001, date="ship_date").select(F.col("year").alias("test_set"), "metric_tons", "value_usd",
                                                          models.alias("m"))
     scored = test.select("test_set", "metric_tons", "value_usd", F.inline("m")) \
         .withColumn("yhat", F.col("i") + F.col("s") * F.col("metric_tons"))

@@ -68,7 +68,7 @@ def hs_class_filter(t):
 def year_slice(t):
     s = t.shipments()
     slices = {"early": (None, 1996), "one": (2000, 2000), "late": (2000, None)}
-    counted = [columns.year_slice(s, lo, hi).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    counted = [columns.year_slice(s, lo, hi, date="ship_date").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
                .withColumn("slice", F.lit(name)) for name, (lo, hi) in slices.items()]
     return sets.union_conformed(*counted)
 

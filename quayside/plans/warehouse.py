@@ -17,7 +17,8 @@ from quayside.functions.text import after_last, before_last, container_flags, pr
 from quayside.functions.timekeys import days_between, parse_date, time_features, year_week
 from quayside.operators.aggregates import totals_over, weekly_sum
 from quayside.operators.columns import conform, dedupe, filter_in, require, with_constants
-from quayside.operators.joins import enrich, keep_qualifying, keyed, outer_period_join, preserve_dim, standardise
+from quayside.operators.joins import (enrich, keep_qualifying, keyed, measured, outer_period_join, preserve_dim,
+                                       semi_qualifying, standardise)
 from quayside.operators.outliers import outlier_chain
 from quayside.operators.sets import union_conformed
 from quayside.operators.windows import pct_from_baseline
@@ -80,13 +81,28 @@ def port_state(clustered: str):
     return recode(F.trim(after_last(clustered, ",")), fixed.PORT_STATE_CODES)
 
 
-def size_entities(fact: DataFrame, entity: str, size: str, measure: str = "metric_tons",
-                  least: float = fixed.MIN_ENTITY_TONS, edges: list[float] = fixed.SIZE_EDGES) -> DataFrame:
-    """Only entities whose total is above ``least``, each with its size class."""
+def entity_sizes(totals: DataFrame, entity: str, size: str, measure: str, least: float, edges: list[float]) -> DataFrame:
+    """Entities whose total is above ``least``, each with its size class."""
     klass = F.when(F.trim(entity) == fixed.UNKNOWN_COMPANY, fixed.SIZE_UNKNOWN) \
         .otherwise(bin_by_thresholds("total", edges, fixed.SIZE_LABELS))
-    sized = totals_over(fact, entity, measure, least).select(entity, klass.alias(size))
-    return keep_qualifying(fact, sized, entity)
+    return measured(totals_over(totals, entity, measure, least).select(entity, klass.alias(size)))
+
+
+def size_entities(fact: DataFrame, entities: dict[str, str], measure: str = "metric_tons",
+                  least: list[float] = (fixed.MIN_ENTITY_TONS, fixed.MIN_ENTITY_TONS),
+                  edges: list[float] = fixed.SIZE_EDGES) -> DataFrame:
+    """Only rows of qualifying entities, with their size classes; ``entities`` maps entity
+    columns to size columns. Totals of a later entity count the rows the earlier ones left.
+
+    The fact is summed once per combination of entities; all totals come from those sums,
+    and the fact is read a second time for the joins.
+    """
+    combined = measured(fact.groupBy(*entities).agg(F.sum(measure).alias(measure)))
+    for (entity, size), at_least in zip(entities.items(), least):
+        sizes = entity_sizes(combined, entity, size, measure, at_least, edges)
+        combined = semi_qualifying(combined, sizes, {entity: entity})
+        fact = keep_qualifying(fact, sizes, entity)
+    return fact
 
 
 def enrich_economic(fact: DataFrame, unemployment: DataFrame, tariffs: DataFrame, currencies: DataFrame,
@@ -102,9 +118,9 @@ def enrich_economic(fact: DataFrame, unemployment: DataFrame, tariffs: DataFrame
         yes_no_to_bool("european_union").cast("string").alias("european_union")), "country", "hs_family", "tariff_year")
     prices = keyed(currencies.select(month("month_year").alias("_month"), "country", "currency", "price"),
                    "_month", "country")
-    out = enrich(fact, rates, {"year_month": "_month"}, "inner")
-    out = enrich(out, taxes, {country: "country", "hs_class": "hs_family", "year": "tariff_year"})
-    return enrich(out, prices, {"year_month": "_month", country: "country"})
+    out = enrich(fact, measured(rates), {"year_month": "_month"}, "inner")
+    out = enrich(out, measured(taxes), {country: "country", "hs_class": "hs_family", "year": "tariff_year"})
+    return enrich(out, measured(prices), {"year_month": "_month", country: "country"})
 
 
 def weekly_cases(cases: DataFrame, states: DataFrame, last_year: int | None = 2020) -> DataFrame:
@@ -145,7 +161,7 @@ def first_period_change(df: DataFrame, entity: str, time: str, value: str, first
                            F.col("_v").alias("v")))
     base = per_period.groupBy(entity).agg(first.alias("f")).select(
         entity, F.year("f.t").alias("_year"), F.col("f.t").cast("string").alias(first_time), F.col("f.v").alias(first_value))
-    joined = enrich(df.withColumn("_y", F.year(time)), base, {entity: entity, "_y": "_year"}).drop("_y")
+    joined = enrich(df.withColumn("_y", F.year(time)), measured(base), {entity: entity, "_y": "_year"}).drop("_y")
     return joined.withColumn(pct, pct_from_baseline(value, first_value))
 
 
@@ -274,8 +290,8 @@ def build_warehouse(imports: DataFrame, exports: DataFrame, side: SideTables,
         "foreign_country_clustered": recode("foreign_country_clustered", fixed.COUNTRY_NAMES),
         "foreign_company_country_clustered": recode("foreign_company_country_clustered", fixed.COUNTRY_NAMES)})
     fact = settle(dedupe(fact.drop("us_company_state", "us_company_agg")), "conformed")
-    fact = size_entities(fact, "us_company_clustered", "us_company_size", least=min_total)
-    fact = size_entities(fact, "foreign_company_clustered", "foreign_company_size", least=min_total)
+    fact = size_entities(fact, {"us_company_clustered": "us_company_size",
+                                "foreign_company_clustered": "foreign_company_size"}, least=[min_total, min_total])
     fact = outlier_chain(fact, [("z", "metric_tons", fixed.OUTLIER_Z), ("cap", "metric_tons", fixed.MAX_SHIPMENT_TONS),
                                 ("z", "teus", fixed.OUTLIER_Z), ("z", "tcvusd", fixed.OUTLIER_Z)])
     fact = settle(fact, "cleaned")

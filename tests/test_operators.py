@@ -31,6 +31,13 @@ def test_union_counts_add_up(spark):
     assert out.count() == 8 and set(out.columns) == {"id", "x", "y"}
 
 
+def test_year_slice_by_date_equals_by_year(spark):
+    df = spark.range(4_000).select(F.date_add(F.lit("1995-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    df = df.withColumn("year", F.year("d"))
+    for first, last in ((None, 1997), (2000, 2000), (1998, None), (None, None)):
+        assert rows(columns.year_slice(df, first, last)) == rows(columns.year_slice(df, first, last, date="d"))
+
+
 # ---- joins
 
 @pytest.fixture()
