@@ -44,11 +44,11 @@ def dummy_encode(df: DataFrame, levels: dict[str, list], drop_first: bool = True
 
 def dummy_pipeline(cols: list[str], drop_first: bool = True) -> Pipeline:
     """The same encoding as ML stages: with descending order the dropped last level is the
-    alphabetically first."""
+    alphabetically first. A value not seen in training is an error."""
     indexers = StringIndexer(inputCols=cols, outputCols=[f"{c}_index" for c in cols],
-                             stringOrderType="alphabetDesc", handleInvalid="keep")
+                             stringOrderType="alphabetDesc", handleInvalid="error")
     encoder = OneHotEncoder(inputCols=[f"{c}_index" for c in cols], outputCols=[f"{c}_dummies" for c in cols],
-                            dropLast=drop_first, handleInvalid="keep")
+                            dropLast=drop_first, handleInvalid="error")
     return Pipeline(stages=[indexers, encoder])
 
 
@@ -98,15 +98,16 @@ def question_dataset(df: DataFrame, target: str, drop: list[str], need: list[str
 
 
 def assemble(df: DataFrame, cols: list[str], target: str, out: str = "features") -> DataFrame:
-    """Vector column for the learners. The target must not be among its own predictors."""
+    """Vector column for the learners. The target must not be among its own predictors, and a
+    null in a feature is an error: :func:`question_dataset` says which rows are wanted."""
     if target in cols:
         raise ValueError(f"target {target} is among the features")
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="error").transform(df)
 
 
 def pca(df: DataFrame, cols: list[str], k: int) -> tuple[PipelineModel, DataFrame]:
     """Principal components fitted on all rows: the model, and the rows with ``pc_1..k``."""
-    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip"),
+    model = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="error"),
                              PCA(k=k, inputCol="_v", outputCol="_pc")]).fit(df)
     scored = model.transform(df).withColumn("_a", vector_to_array("_pc"))
     return model, scored.withColumns({f"pc_{i + 1}": F.col("_a")[i] for i in range(k)}).drop("_v", "_pc", "_a")

@@ -16,7 +16,7 @@ def drop_outliers(df: DataFrame, col: str, k: float = OUTLIER_Z, by: list[str] |
     their group. A column of one value keeps nothing, as a z-score of 0/0 is no number."""
     stats = measured(moments(df, [col], by))
     if by:
-        joined = enrich(df, stats, {c: c for c in by}, "inner")
+        joined = enrich(df, stats, {c: c for c in by}, "inner", null_safe=True)
         near = F.abs(F.col(col) - F.col(f"{col}_mean")) < k * F.col(f"{col}_sd")
         return joined.filter(near).drop(f"{col}_mean", f"{col}_sd")
     s = stats.select(F.struct(f"{col}_mean", f"{col}_sd")).scalar()

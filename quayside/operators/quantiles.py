@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quayside.operators.joins import measured
+from quayside.operators.joins import enrich, measured
 
 # Ranks of the sketch are right to within one part in this many.
 SKETCH_ACCURACY = 10_000
@@ -33,7 +33,8 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None
                  F.when(small, F.col("_min")).otherwise(F.col("_p")[i]).alias("_lo"),
                  F.when(small, F.col("_max")).otherwise(F.col("_p")[len(probs) + i]).alias("_hi"))
         for i, p in enumerate(probs))).alias("_b"))
-    rows = df.join(measured(brackets), by, "inner") if by else df.withColumn("_b", brackets.scalar())
+    same = {c: c for c in by}
+    rows = enrich(df, measured(brackets), same, "inner", null_safe=True) if by else df.withColumn("_b", brackets.scalar())
     rows = rows.select(*by, F.col(col).alias("_x"), F.explode("_b").alias("_e")).select(*by, "_x", "_e.*")
     value = F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))
     counted = (rows.filter(F.col("_x") <= F.col("_hi"))
@@ -57,6 +58,6 @@ def five_number(df: DataFrame, col: str, by: list[str] | None = None) -> DataFra
     wide = q.groupBy(*by).agg(quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"))
     ends = df.groupBy(*by).agg(F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"))
     if by:
-        return ends.join(wide, by, "inner")
+        return enrich(ends, wide, {c: c for c in by}, "inner", null_safe=True)
     w = measured(wide).select(F.struct("q1", "median", "q3")).scalar()
     return ends.select("min", w["q1"].alias("q1"), w["median"].alias("median"), "mean", w["q3"].alias("q3"), "max")

@@ -12,6 +12,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quayside.fixed_values import FORECAST_STEPS, INTERVAL_PROBS, SEED, WINDOW_CUTOFF_YEARS
@@ -210,47 +211,62 @@ def garch_forecast(params: DataFrame, keys: list[str], steps: int = FORECAST_STE
             .select(*keys, "step", "mean", "sigma", "var"))
 
 
-def _uniform(keys: list[str], label: str, step: int, seed: int):
-    """Uniform in (0, 1) that depends on nothing but series, path and step."""
-    bits = F.shiftrightunsigned(F.xxhash64(*keys, "path_id", F.lit(f"{label}{step}-{seed}")), 11)
-    return (bits + 0.5) / float(1 << 53)
-
-
 def simulate_paths(params: DataFrame, keys: list[str], paths: int, start: str = "start",
                    steps: int = FORECAST_STEPS, seed: int = SEED, block: int = 1_000) -> DataFrame:
     """Simulated futures of every fitted series, one row per path and step:
     ``keys, path_id, step, change, sigma, level``; levels go on from the log level ``start``.
 
-    Paths are dealt out in blocks, so one series alone still uses the whole cluster. The
-    steps are column expressions in one generated loop over paths, and a path's level is
-    summed on its own row, with no shuffle. Draws come from hashes (Bailey's polar form of
-    Student's t), so a path is the same however the work is spread or repeated.
+    Paths are dealt out in blocks, so one series alone still uses the whole cluster. A
+    block is a small matrix of paths by steps, its levels are summed there, with no shuffle.
+    The generator of a block is seeded by series and block number: the paths are the same
+    however the blocks are spread and however often a block is run again.
     """
     blocks = -(-paths // block)
-    fitted = params.filter(F.col("mu").isNotNull())
-    dealt = fitted.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
-        .repartition(*keys, "_block")
-    last = F.least(F.col("_block") * block + block, F.lit(paths)) - 1
-    df = dealt.withColumn("path_id", F.explode(F.sequence(F.col("_block") * block, last)))
-    df = df.withColumns({"_e": F.col("last_residual"), "_v": F.col("last_variance"), "_l": F.col(start)})
-    nu = F.col("nu")
-    for step in range(1, steps + 1):
-        u, v = _uniform(keys, "u", step, seed), _uniform(keys, "v", step, seed)
-        z = F.sqrt((nu - 2) * (F.pow(u, -2 / nu) - 1)) * F.cos(2 * math.pi * v)
-        df = df.withColumn("_v", F.col("omega") + F.col("alpha") * F.col("_e") * F.col("_e") + F.col("beta") * F.col("_v"))
-        df = df.withColumn("_new", F.sqrt("_v") * z)
-        df = df.withColumn("_x", F.col("mu") + F.col("ma") * F.col("_e") + F.col("_new"))
-        df = df.withColumns({"_e": F.col("_new"), "_l": F.col("_l") + F.col("_x")})
-        df = df.withColumn(f"_s{step}", F.struct(F.lit(step).alias("step"), F.col("_x").alias("change"),
-                                                 F.sqrt("_v").alias("sigma"), F.exp("_l").alias("level")))
-    return df.select(*keys, "path_id", F.inline(F.array(*(f"_s{s}" for s in range(1, steps + 1)))))
+    numbers = ["mu", "ma", "omega", "alpha", "beta", "nu", "last_residual", "last_variance", start]
+    dealt = (params.filter(F.col("mu").isNotNull())
+             .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+             .select(*keys, *numbers, "_block", F.xxhash64(*keys, "_block", F.lit(seed)).alias("_seed"))
+             .repartition(*keys, "_block"))
+    schema = T.StructType([params.schema[k] for k in keys] + T._parse_datatype_string(
+        "path_id int, step int, change double, sigma double, level double").fields)
+
+    names = schema.names
+
+    def one_block(row: dict) -> pa.RecordBatch:
+        first = row["_block"] * block
+        n = min(block, paths - first)
+        rng = np.random.Generator(np.random.Philox(row["_seed"] % 2**63))
+        nu, residual, variance = row["nu"], np.full(n, row["last_residual"]), np.full(n, row["last_variance"])
+        change, sigma = np.empty((n, steps)), np.empty((n, steps))
+        for step in range(steps):
+            variance = row["omega"] + row["alpha"] * residual**2 + row["beta"] * variance
+            drawn = np.sqrt(variance * (nu - 2) / nu) * rng.standard_t(nu, n)
+            change[:, step] = row["mu"] + row["ma"] * residual + drawn
+            sigma[:, step], residual = np.sqrt(variance), drawn
+        level = np.exp(row[start] + np.cumsum(change, axis=1))
+        path = np.repeat(np.arange(first, first + n, dtype=np.int32), steps)
+        step = np.tile(np.arange(1, steps + 1, dtype=np.int32), n)
+        return pa.RecordBatch.from_arrays(
+            [pa.repeat(row[k], n * steps) for k in keys]
+            + [pa.array(x) for x in (path, step, change.ravel(), sigma.ravel(), level.ravel())], names=names)
+
+    def run(batches):
+        for batch in batches:
+            # the key columns as Arrow scalars, so that they keep their types
+            for i, row in enumerate(batch.to_pylist()):
+                yield one_block({**row, **{k: batch.column(k)[i] for k in keys}})
+
+    return dealt.mapInArrow(run, schema)
 
 
 def path_intervals(paths: DataFrame, keys: list[str], value: str = "level",
                    probs: list[float] = INTERVAL_PROBS) -> DataFrame:
-    """Pointwise interval per step. A group holds exactly the simulated paths of one series,
-    a number the caller chose."""
-    q = F.percentile(value, F.array(*(F.lit(p) for p in probs)))
-    return paths.groupBy(*keys, "step").agg(q.alias("_q"), F.avg(value).alias("mean")) \
-        .select(*keys, "step", F.col("_q")[0].alias("low"), F.col("_q")[len(probs) - 1].alias("high"), "mean")
-
+    """Pointwise interval and mean per step: ``keys, step, low, high, mean``. A group holds
+    exactly the simulated paths of one series, a number the caller chose."""
+    def interval(pdf):
+        x = pdf[value].to_numpy()
+        low, high = np.quantile(x, [probs[0], probs[-1]])
+        return {"low": low, "high": high, "mean": x.mean()}
+
+    return _per_series(paths.select(*keys, "step", value), [*keys, "step"], interval,
+                       "low double, high double, mean double")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quayside.operators.joins import measured
+from quayside.operators.joins import enrich, measured
 from quayside.session import settle
 
 
@@ -82,7 +82,7 @@ def running(df: DataFrame, order: str, block: Column, measures: dict[str, tuple[
     within = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     here = df.withColumns({f"_h_{out}": _RUNNING[kind][0](col).over(within)
                            for out, (kind, col) in measures.items()})
-    joined = here.join(carried, [*keys, "_block"], "inner")
+    joined = enrich(here, carried, {c: c for c in [*keys, "_block"]}, "inner", null_safe=True)
     return joined.select(*(c for c in df.columns if c != "_block"), *(
         _RUNNING[kind][1](F.col(f"_b_{out}"), F.col(f"_h_{out}")).alias(out)
         for out, (kind, _) in measures.items()))

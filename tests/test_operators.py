@@ -224,6 +224,14 @@ def test_row_numbers_with_a_hot_value(spark):
     assert [(r.loss, r.id) for r in got] == sorted((r.loss, r.id) for r in got)
 
 
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(None, float(i)) for i in range(9)] + [("a", 5.0)], "k string, x double")
+    assert {(r.k, r.value) for r in quantiles.quantiles(df, "x", [0.5], ["k"]).collect()} == {(None, 4.0), ("a", 5.0)}
+    running = windows.running(df.withColumn("i", F.col("x").cast("int")), "i", F.floor(F.col("i") / 4), {"s": ("sum", "x")}, ["k"])
+    assert running.count() == 10 and running.filter("k is null").agg(F.max("s")).first()[0] == 36.0
+    assert outliers.drop_outliers(df, "x", 3.5, ["k"]).count() == 9
+
+
 @pytest.mark.parametrize("block", [7, 100, 10_000])
 def test_running_over_blocks(spark, block):
     rng = random.Random(block)

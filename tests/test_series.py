@@ -107,8 +107,10 @@ def test_forecast_recursion(params):
 def test_paths_do_not_depend_on_partitioning(spark, params):
     take = lambda df: {(r.path_id, r.step): r.level for r in df.collect()}
     one = take(series.simulate_paths(params, ["k"], 50, steps=3))
-    other = take(series.simulate_paths(params.repartition(5), ["k"], 50, steps=3, block=7))
+    other = take(series.simulate_paths(params.repartition(5).coalesce(2), ["k"], 50, steps=3))
     assert one == other and len(one) == 150
+    blocks = take(series.simulate_paths(params, ["k"], 50, steps=3, block=7))
+    assert set(blocks) == set(one) and len(set(blocks.values())) == 150
 
 
 def test_paths_have_the_moments_of_the_model(params):
