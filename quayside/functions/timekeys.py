@@ -7,9 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quayside.functions.text import _col
 
 
-def parse_date(c: Column | str, fmt: str) -> Column:
-    """Date from text (``yyyyMMdd``, ``M/d/yyyy``), null when it does not parse."""
-    return F.try_to_timestamp(_col(c).cast("string"), F.lit(fmt)).cast("date")
+def parse_date(c: Column | str, fmt: str, last_year: int | None = None) -> Column:
+    """Date from text (``yyyyMMdd``, ``M/d/yyyy``), null when it does not parse. Two-digit
+    years (``d-MMM-yy``) mean the century that does not go beyond ``last_year``."""
+    date = F.try_to_timestamp(_col(c).cast("string"), F.lit(fmt)).cast("date")
+    if last_year is None:
+        return date
+    return F.when(F.year(date) > last_year, F.add_months(date, -1200)).otherwise(date)
 
 
 def month_key(d: Column | str) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml import Model
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quayside.fixed_values import SEED
@@ -46,8 +47,11 @@ def permutation_importance(model: Model, test: DataFrame, target: str, key: list
     rows = test.select(*key, F.col(target).cast("double").alias("_y"), features)
     shuffled = shuffled_features(rows, key, repeats, seed, rows_per_bucket, features)
     copies = shuffled.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-    exchanged = F.transform("_f", lambda x, i: F.when(i == F.col("_j"), F.col("_other")[i]).otherwise(x))
-    permuted = model.transform(copies.select("repeat", "_j", "_y", array_to_vector(exchanged).alias(features)))
+    parts = [f"_x{i}" for i in range(len(names))]
+    exchanged = [F.when(F.col("_j") == i, F.col("_other")[i]).otherwise(F.col("_f")[i]).alias(x)
+                 for i, x in enumerate(parts)]
+    permuted = model.transform(VectorAssembler(inputCols=parts, outputCol=features).transform(
+        copies.select("repeat", "_j", "_y", *exchanged)).select("repeat", "_j", "_y", features))
     errors = regression_metrics(permuted, "_y", "prediction", ["_j", "repeat"])
     base = regression_metrics(model.transform(rows), "_y", "prediction").select(metric).scalar()
     worse = (base - F.col(metric)) if metric == "r2" else (F.col(metric) - base)

@@ -99,14 +99,15 @@ def cluster_similar(df: DataFrame, col: str, max_distance: int = 1) -> DataFrame
     when they share one. Work follows the number of near names, not that of all pairs.
     """
     names = name_counts(df, col).select("name")
-    forms = names.select("name", F.explode(deletions("name", max_distance)).alias("form"))
+    # dealt out by the join key before the join: a name table small enough to be broadcast
+    # still makes many forms
+    forms = names.select("name", F.explode(deletions("name", max_distance)).alias("form")).repartition("form")
     left = forms.withColumnRenamed("name", "left")
     right = forms.withColumnsRenamed({"name": "right", "form": "form_r"})
-    candidates = left.join(right, (F.col("form") == F.col("form_r")) & (F.col("left") < F.col("right"))) \
-        .select("left", "right").distinct()
-    # -1 beyond the limit
-    distance = F.levenshtein("left", "right", max_distance)
-    return candidates.withColumn("distance", distance).filter(F.col("distance") >= 0)
+    candidates = left.join(right, (F.col("form") == F.col("form_r")) & (F.col("left") < F.col("right")))
+    # -1 beyond the limit; compared first, so that only true pairs are shuffled for the distinct
+    distance = F.levenshtein("left", "right", max_distance).alias("distance")
+    return candidates.select("left", "right", distance).filter(F.col("distance") >= 0).distinct()
 
 
 def canonical_name(clusters: DataFrame, group: str = "cluster", name: str = "name", n: str = "n") -> DataFrame:

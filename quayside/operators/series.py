@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from quayside.fixed_values import FORECAST_STEPS, INTERVAL_PROBS, SEED, WINDOW_CUTOFF_YEARS
-from quayside.operators.windows import diff
+from quayside.operators.windows import diff, undiff
 
 
 def log_diff(series: DataFrame, keys: list[str], month: str, value: str, log: str = "log_value",
@@ -259,6 +259,11 @@ def simulate_paths(params: DataFrame, keys: list[str], paths: int, start: str =
     return dealt.mapInArrow(run, schema)
 
 
+def paths_to_levels(paths: DataFrame, keys: list[str], start: str, change: str = "change", out: str = "level") -> DataFrame:
+    """Levels of paths given as changes: each path goes on from its log level ``start``."""
+    return undiff(paths, [*keys, "path_id"], "step", change, start, out)
+
+
 def path_intervals(paths: DataFrame, keys: list[str], value: str = "level",
                    probs: list[float] = INTERVAL_PROBS) -> DataFrame:
     """Pointwise interval and mean per step: ``keys, step, low, high, mean``. A group holds

@@ -18,6 +18,8 @@ def build_session(app_name: str = "quayside", master: str | None = None, **conf:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # split hot keys even where an aggregate on the join key follows and needs a shuffle then
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
     )
     if master:
@@ -50,14 +52,13 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str, spread_by: list[str] | None = None) -> DataFrame:
+def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage in a way that survives executor loss, and fixes values such as
-    partition ids that could differ if the plan ran twice. ``spread_by`` deals the rows
-    out by the hash of a key first: worth a shuffle when many passes over the table follow.
+    partition ids that could differ if the plan ran twice.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, label)
-    (df.repartition(*spread_by) if spread_by else df).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -69,6 +69,12 @@ def test_parse_dates(spark):
     assert got == [(datetime.date(2020, 2, 29), datetime.date(2020, 3, 4)), (None, None), (None, datetime.date(2020, 12, 31))]
 
 
+def test_two_digit_years(spark):
+    rows = [("25-Mar-57",), ("1-Jan-07",)]
+    got = values(spark, rows, "c string", timekeys.parse_date("c", "d-MMM-yy", last_year=2021))
+    assert got == [(datetime.date(1957, 3, 25),), (datetime.date(2007, 1, 1),)]
+
+
 def test_weeks_day_by_day(spark):
     first = datetime.date(2009, 12, 25)
     n = 4045

@@ -123,6 +123,12 @@ def test_paths_have_the_moments_of_the_model(params):
     assert levels.filter(F.abs(F.log("l") - 5 - F.col("c")) > 1e-9).count() == 0
 
 
+def test_paths_to_levels(params):
+    paths = series.simulate_paths(params, ["k"], 20, steps=5).withColumnRenamed("level", "expected")
+    out = series.paths_to_levels(paths.withColumn("start", F.lit(5.0)), ["k"], "start")
+    assert out.filter(F.abs(F.col("level") / F.col("expected") - 1) > 1e-12).count() == 0 and out.count() == 100
+
+
 def test_path_intervals(params):
     paths = series.simulate_paths(params, ["k"], 500, steps=2)
     got = series.path_intervals(paths, ["k"]).filter("step = 2").first()
