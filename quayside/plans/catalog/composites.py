@@ -118,6 +118,11 @@ def entity_sizing(t):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("metric_tons"), 4).alias("metric_tons"))
 
 
+def _exact(c: str) -> str:
+    """Sum of amounts in cents, the same in any order of rows."""
+    return f"cast(sum(cast({c} as decimal(18, 2))) as double) as {c}"
+
+
 @query("economic_enrichment", f"""
     with s as (select *, strftime(ship_date, '%Y-%m') as ym from {shipments_sql("part", "customer")}),
         rates as (select strftime(o_orderdate, '%Y-%m') as ym, max(o_totalprice) as us_unemployment_rate from orders group by 1),
@@ -127,8 +132,7 @@ def entity_sizing(t):
             from s where discount >= 0.05 group by all),
         prices as (select foreign_nation, ym, max(segment) as currency, max(tax) as price from s where status = 'F' group by all)
     select s.year, free_trade_agreement_with_us, european_union, currency, count(*) as n,
-        round(sum(us_unemployment_rate), 2) as us_unemployment_rate, round(sum(average_tariff), 2) as average_tariff,
-        round(sum(price), 2) as price
+        {_exact("us_unemployment_rate")}, {_exact("average_tariff")}, {_exact("price")}
     from s join rates using (ym) left join tariffs using (foreign_nation, hs_class, year)
     left join prices using (foreign_nation, ym) group by all""")
 def economic_enrichment(t):
@@ -145,7 +149,7 @@ def economic_enrichment(t):
         .agg(F.max("segment").alias("currency"), F.max("tax").alias("price"))
     out = warehouse.enrich_economic(s, unemployment, tariffs, currencies, "foreign_nation")
     return out.groupBy("year", "free_trade_agreement_with_us", "european_union", "currency").agg(
-        F.count(F.lit(1)).alias("n"), *(F.round(F.sum(c), 2).alias(c)
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c)
                                         for c in ("us_unemployment_rate", "average_tariff", "price")))
 
 
