@@ -21,13 +21,17 @@ def ordinal_encode(df: DataFrame, col: str, order: list[str], out: str | None =
     return df.withColumn(out or col, expr.otherwise(0))
 
 
-def fit_levels(df: DataFrame, col: str, most: int = 1_000) -> list[str]:
-    """Sorted levels of a category. They become columns, so a column with more than
-    ``most`` of them is an error: it is no category."""
-    rows = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{col} has more than {most} levels")
-    return sorted(r[0] for r in rows)
+def fit_levels(df: DataFrame, *cols: str, most: int = 1_000) -> dict[str, list]:
+    """Sorted levels of each category, in one pass. They become columns, so a column with
+    more than ``most`` of them is an error: it is no category."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("level")) for c in cols))
+    levels = df.select(F.inline(pairs)).filter(F.col("level").isNotNull()).distinct()
+    rows = levels.limit(most * len(cols) + 1).collect()
+    found = {c: sorted(r.level for r in rows if r.column == c) for c in cols}
+    for c, values in found.items():
+        if len(values) > most or len(rows) > most * len(cols):
+            raise ValueError(f"more than {most} levels in {c if len(values) > most else cols}")
+    return found
 
 
 def dummy_name(col: str, level) -> str:

@@ -55,6 +55,13 @@ def stratified_split(df: DataFrame, by: list[str], test: float, key: list[str],
     return take_by_hash(df, by, F.ceil(F.lit(test) * F.col("_n")), key, seed, "is_test")
 
 
+def approximate_split(df: DataFrame, test: float, key: list[str], seed: int = SEED) -> DataFrame:
+    """Adds ``is_test`` for about this share of the rows of any stratum, by the hash of the
+    key alone: one pass, no counts and no shuffle."""
+    share = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    return df.withColumn("is_test", share < test)
+
+
 def sample_n(df: DataFrame, n: int, key: list[str], seed: int = SEED) -> DataFrame:
     """Exactly ``n`` rows, or all when there are fewer."""
     return take_by_hash(df, [], F.least(F.lit(n), F.col("_n")), key, seed).filter("chosen").drop("chosen")

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from quayside.fixed_values import HS_CLASSES, SIZE_LABELS
+from quayside.fixed_values import HS_CLASSES
 from quayside.functions.timekeys import time_features, year_week
 from quayside.plans import warehouse
 from quayside.plans.catalog.aggregating import rounded
 from quayside.plans.catalog.joining import GROUPS_SQL, WEEK_SQL, _groups
 from quayside.plans.registry import query
-from quayside.plans.views import NATIONS_SQL, WEEKLY_SOURCE_SQL, shipments_sql
+from quayside.plans.views import NATIONS_SQL, shipments_sql
 
 HS_LIST = ", ".join(map(str, HS_CLASSES))
 SIDES = ("part", "supplier", "customer")

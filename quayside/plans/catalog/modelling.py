@@ -33,8 +33,7 @@ LEVELS = {"hs_group": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD
     from {shipments_sql("part")}""")
 def dummy_encode(t):
     s = t.shipments("part").select(*SHIPMENT_KEY, "hs_group", "trade_direction")
-    levels = {"hs_group": features.fit_levels(t.part, "p_type"), "trade_direction": features.fit_levels(s, "trade_direction")}
-    return features.dummy_encode(s, levels)
+    return features.dummy_encode(s, features.fit_levels(s, "hs_group", "trade_direction"))
 
 
 SCALED = ["metric_tons", "value_usd"]

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from quayside.operators import outliers, windows
-from quayside.operators.aggregates import monthly_sum
 from quayside.operators.trials import best_so_far as running_best, rank_trials as ranked
 from quayside.plans.catalog.aggregating import rounded
 from quayside.plans.registry import query

@@ -64,7 +64,8 @@ class ModelFrame:
         self.target, self.keep = target, keep
         self.sizes = [c for c in SIZE_COLUMNS if c in kinds]
         self.flags = [c for c, k in kinds.items() if k == "boolean"]
-        self.levels = {c: features.fit_levels(train, c) for c, k in kinds.items() if k == "string" and c not in self.sizes}
+        text = [c for c, k in kinds.items() if k == "string" and c not in self.sizes]
+        self.levels = features.fit_levels(train, *text) if text else {}
         dummies = [features.dummy_name(c, v) for c, values in self.levels.items() for v in values[1:]]
         self.numbers = [c for c in kinds if c not in self.levels]
         self.names = [*self.numbers, *dummies]
@@ -86,7 +87,7 @@ class ModelFrame:
 
 def importance_study(fact: DataFrame, question: str, reduced: bool = False, **forest) -> tuple[Model, DataFrame]:
     """Random forest for a question, and its importance table."""
-    rows = question_rows(fact, question, reduced)
+    rows = settle(question_rows(fact, question, reduced), "question")
     frame = ModelFrame(rows, TARGET, [], scale=False)
     model = learners.fit_random_forest(frame.apply(rows), TARGET, **forest)
     return model, explain.impurity_importance(fact.sparkSession, model, frame.names)
@@ -101,7 +102,7 @@ def period_study(fact: DataFrame, target: str, periods: dict[str, Column], train
     The period is split within each ``stratum``; encoders, scalers and model see its
     training part only. Returns model, errors by ``train_set, test_set``, importances.
     """
-    own = stratified_split(fact.filter(periods[train]), [stratum], test, key)
+    own = settle(stratified_split(fact.filter(periods[train]), [stratum], test, key), "period")
     rest = [*key, "is_test"]
     learnt = own.filter(~F.col("is_test")).drop(stratum, *drop)
     frame = ModelFrame(learnt, target, rest)

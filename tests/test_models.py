@@ -26,7 +26,7 @@ def test_target_cannot_be_a_feature(spark):
 
 def test_dummies_equal_the_ml_encoding(spark):
     df = spark.createDataFrame([(v,) for v in "bacab"], "c string")
-    levels = {"c": features.fit_levels(df, "c")}
+    levels = features.fit_levels(df, "c")
     assert levels == {"c": ["a", "b", "c"]}
     columns = sorted(tuple(r) for r in features.dummy_encode(df, levels).collect())
     assert columns == sorted([(1, 0), (0, 0), (0, 1), (0, 0), (1, 0)])

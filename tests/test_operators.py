@@ -203,6 +203,14 @@ def test_buckets_of_the_hash_do_not_change_the_sample(spark, monkeypatch):
     assert {r.id for r in sampling.sample_n(df.repartition(13), 123, ["id"]).collect()} == expected
 
 
+def test_approximate_split(spark):
+    df = spark.range(20_000).withColumn("s", F.col("id") % 3)
+    first = {r.id for r in sampling.approximate_split(df, 0.2, ["id"]).filter("is_test").collect()}
+    again = {r.id for r in sampling.approximate_split(df.repartition(5), 0.2, ["id"]).filter("is_test").collect()}
+    assert first == again and abs(len(first) - 4_000) < 250
+    assert all(abs(sum(i % 3 == s for i in first) - 1_333) < 150 for s in range(3))
+
+
 def test_sample_of_more_than_there_is(spark):
     assert sampling.sample_n(spark.range(10), 100, ["id"]).count() == 10
 
