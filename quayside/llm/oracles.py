@@ -1,5 +1,7 @@
 """SQL for the queries that SQL can express, on tables read by a plain engine."""
 
+from quayside.llm.licenses import BASE, COVERAGE, SHIFT, TEMPLATES
+
 OP1_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -20,3 +22,32 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
        sha256(body) as text_sha256
 from texts window w as (partition by body)
 """
+
+_PHRASES = ", ".join(f"('{p}', '{x}', {b})" for b, known in ((True, BASE), (False, TEMPLATES)) for p, x in known.items())
+
+OP4_SQL = rf"""
+with phrases(phrase, label, is_base) as (values {_PHRASES}),
+grams as (select phrase, label, is_base, len(string_split(phrase, ' ')) - 1 as grams, g.i as "at",
+                 string_split(phrase, ' ')[g.i + 1] || ' ' || string_split(phrase, ' ')[g.i + 2] as gram
+          from phrases, lateral (select unnest(range(len(string_split(phrase, ' ')) - 1)) as i) g),
+texts as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+pairs as (select doc_id, p.i as pos, words[p.i + 1] || ' ' || words[p.i + 2] as gram
+          from texts, lateral (select unnest(range(len(words) - 1)) as i) p),
+diagonals as (select doc_id, phrase, label, is_base, grams, pos - "at" as diagonal, list(distinct "at") as hits,
+                     min(pos) as first_word from pairs join grams using (gram) group by all),
+opened as (select *, case when is_base or diagonal - lag(diagonal) over w <= {SHIFT} is not true then 1 else 0 end as opens
+           from diagonals window w as (partition by doc_id, phrase order by diagonal)),
+numbered as (select *, sum(opens) over (partition by doc_id, phrase order by diagonal rows unbounded preceding) as span from opened),
+spans as (select doc_id, label, is_base, min(first_word) as first_word,
+                 len(list_distinct(flatten(list(hits)))) / grams as score
+          from numbered group by doc_id, phrase, label, is_base, grams, span),
+judged as (select *, is_base and score >= 1 as base_hit, score >= case when is_base then 1.0 else {COVERAGE} end as verified from spans),
+found as (select doc_id, count(*) filter (base_hit) as n_base, min(first_word) filter (base_hit) as first_word,
+                 max(first_word) filter (base_hit) as last_word,
+                 string_agg(distinct label, ',' order by label) filter (base_hit) as base_labels,
+                 string_agg(distinct label, ',' order by label) filter (verified) as labels, max(score) as score
+          from judged group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from texts left join found using (doc_id)
+"""

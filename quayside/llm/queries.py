@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quayside.llm import exact_dedup, line_dedup, simhash
-from quayside.llm.oracles import OP1_SQL, OP6_SQL
+from quayside.llm import exact_dedup, licenses, line_dedup, mixing, shards, simhash
+from quayside.llm.oracles import OP1_SQL, OP4_SQL, OP6_SQL
 from quayside.plans.views import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def op1_line_dedup(t: Tables) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_query("op4_license_scan", OP4_SQL)
+def op4_license_scan(t: Tables) -> DataFrame:
+    return licenses.license_labels(t.documents)
+
+
+@_query("op5_sharding")
+def op5_sharding(t: Tables) -> DataFrame:
+    return shards.digest(shards.assign_shards(t.documents, 8))
+
+
 @_query("op6_exact_dedup", OP6_SQL)
 def op6_exact_dedup(t: Tables) -> DataFrame:
     return exact_dedup.exact_groups(t.documents)
@@ -38,3 +48,8 @@ def op6_exact_dedup(t: Tables) -> DataFrame:
 def op7_simhash_near_dedup(t: Tables) -> DataFrame:
     classes = simhash.near_duplicate_classes(t.documents, shingle=3, radius=3)
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query("op10_source_mix")
+def op10_source_mix(t: Tables) -> DataFrame:
+    return mixing.mix(t.documents).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
