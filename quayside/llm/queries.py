@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quayside.llm import exact_dedup, licenses, line_dedup, mixing, shards, simhash
+from quayside.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, quality, render, shards, simhash, toxicity
 from quayside.llm.oracles import OP1_SQL, OP4_SQL, OP6_SQL
 from quayside.plans.views import Tables
 
@@ -29,6 +29,16 @@ def op1_line_dedup(t: Tables) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_query("op2_html_text")
+def op2_html_text(t: Tables) -> DataFrame:
+    return render.visible_text(t.pages)
+
+
+@_query("op3_quality_classifier")
+def op3_quality_classifier(t: Tables) -> DataFrame:
+    return quality.score_documents(t.documents, quality.fit(t.documents, t.labels))
+
+
 @_query("op4_license_scan", OP4_SQL)
 def op4_license_scan(t: Tables) -> DataFrame:
     return licenses.license_labels(t.documents)
@@ -50,6 +60,16 @@ def op7_simhash_near_dedup(t: Tables) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query("op8_benchmark_decontamination")
+def op8_benchmark_decontamination(t: Tables) -> DataFrame:
+    return decontaminate.contaminations(t.documents, t.benchmark)
+
+
+@_query("op9_toxicity")
+def op9_toxicity(t: Tables) -> DataFrame:
+    return toxicity.score_documents(t.documents, toxicity.fit(t.documents, t.labels))
+
+
 @_query("op10_source_mix")
 def op10_source_mix(t: Tables) -> DataFrame:
     return mixing.mix(t.documents).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
