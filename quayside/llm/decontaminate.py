@@ -15,7 +15,7 @@ from quayside.llm.common import body, rows_of
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 # Items that one pass over the documents compares with; further items take further passes.
-ITEMS_PER_PASS = 20_000
+ITEMS_PER_PASS = 5_000
 
 FOUND_SCHEMA = "doc_id long, item_id long, similarity double, distance int, first_word long, n_words long"
 
@@ -187,17 +187,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).cast("binary").alias("text"))
     out = None
     for index in _passes(benchmark, per_pass, radius, least):
-        shared = spark.sparkContext.broadcast(index)  # at most per_pass items
-
-        def scan(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterable[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             names = ["doc_id", "item_id", "similarity", "distance", "first_word", "n_words"]
             types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
             for batch in rows_of(batches):
                 hits = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     best = {}
-                    for i, (got, *rest) in shared.value.search(text).items():
-                        key = shared.value.ids[i]
+                    for i, (got, *rest) in index.search(text).items():
+                        key = index.ids[i]
                         best[key] = max(best.get(key, (-1,)), (got, *rest))
                     hits += [(doc, key, *row) for key, row in best.items()]
                 if hits:
@@ -211,15 +209,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIU
                       per_pass: int = ITEMS_PER_PASS, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item (see :func:`contaminations`), all columns kept, nothing shuffled."""
     for index in _passes(benchmark, per_pass, radius, least):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.filter(_clean_of(shared)(body(text_col).cast("binary")))
+        docs = docs.filter(_clean_of(index)(body(text_col).cast("binary")))
     return docs
 
 
-def _clean_of(shared):
-    """A function that tells which texts hold no item of the shared index."""
+def _clean_of(index: Index):
+    """A function that tells which texts hold no item of the index."""
     @F.pandas_udf(T.BooleanType())
     def clean(texts):
         import pandas as pd
-        return pd.Series([not shared.value.search(t) for t in texts], dtype=bool)
+        return pd.Series([not index.search(t) for t in texts], dtype=bool)
     return clean

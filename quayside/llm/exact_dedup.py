@@ -116,13 +116,13 @@ def _route(repeated: DataFrame, bits: int):
     table = np.zeros((max(1, (1 << bits) // 32768), 4096), np.uint8)
     for bucket, word in words.collect():  # at most 2 ** bits / 32768 rows of 4 KB
         table[bucket - 1] = np.frombuffer(word, np.uint8)
-    shared = repeated.sparkSession.sparkContext.broadcast(table.ravel())
+    flat = table.ravel()
 
     @F.pandas_udf(T.BooleanType())
     def passes(prints):
         import pandas as pd
         at = prints.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-        return pd.Series((shared.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+        return pd.Series((flat[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
     return passes
 
 

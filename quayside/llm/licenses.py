@@ -43,7 +43,7 @@ def words(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, phrases: list[tuple[str, str, bool]]) -> DataFrame:
-    """A row per word pair of each phrase ``(text, label, is_base)``; a fixed list, so its size is bounded."""
+    """A row per word pair of each phrase ``(text, label, is_base)``: a literal list, whose size the planner knows."""
     rows = []
     for number, (phrase, label, base) in enumerate(phrases):
         parts = phrase.split()
@@ -75,7 +75,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = pairs.select(*_ROW, "pos", F.col("pair.w1").alias("w1"), F.col("pair.w2").alias("w2")) \
         .withColumn("pair_hash", F.xxhash64("w1", "w2"))
     same = (F.col("pair_hash") == F.col("gram_hash")) & (F.col("w1") == F.col("g1")) & (F.col("w2") == F.col("g2"))
-    votes = pairs.join(F.broadcast(grams), same).withColumn("diagonal", F.col("pos") - F.col("at"))
+    votes = pairs.join(grams, same).withColumn("diagonal", F.col("pos") - F.col("at"))
     template = ["template", "label", "is_base", "grams"]
     diagonals = votes.groupBy(*_ROW, *template, "diagonal").agg(F.collect_set("at").alias("hits"))
     ordered = W.partitionBy(*_ROW, "template").orderBy("diagonal")

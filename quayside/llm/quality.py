@@ -154,10 +154,8 @@ def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = 0.
     without labelled rows or of one label gives the prior; an empty table gives an empty
     result; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
-
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(_matrix(texts)))
+        return pd.Series(model.score(_matrix(texts)))
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(body(text_col).cast("binary")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

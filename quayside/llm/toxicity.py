@@ -137,26 +137,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     """
     sample = labelled_sample(docs, labels, label, most)
     model = FactorizationMachine(select_terms(sample, most_terms))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}
         for batch in rows_of(batches):
-            rows = shared.value.encode(batch.column(0).to_pylist(), memory)
+            rows = model.encode(batch.column(0).to_pylist(), memory)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1).cast(pa.int32())], ["terms", "label"])
     rows = sorted(((r.terms, r.label) for r in sample.mapInArrow(encode, "terms array<int>, label int").collect()))
     return model.fit([r for r, _ in rows], np.array([y for _, y in rows], float))
 
 
-def scorer(docs: DataFrame, model: FactorizationMachine):
-    """A function of a binary text column: the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_TERMS terms
-
+def scorer(model: FactorizationMachine):
+    """A function of a binary text column: the probability of label 1. The model, of at most ``MOST_TERMS`` terms, goes to every task."""
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memory: dict = {}
         for texts in batches:
-            yield pd.Series(shared.value.score(texts, memory), dtype=float)
+            yield pd.Series(model.score(texts, memory), dtype=float)
     return score
 
 
@@ -169,10 +166,10 @@ def score_documents(docs: DataFrame, model: FactorizationMachine, threshold: flo
     result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
-                       scorer(docs, model)(body(text_col).cast("binary")).alias("score"))
+                       scorer(model)(body(text_col).cast("binary")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``, all columns kept, nothing shuffled."""
-    return docs.filter(scorer(docs, model)(body(text_col).cast("binary")) < threshold)
+    return docs.filter(scorer(model)(body(text_col).cast("binary")) < threshold)
