@@ -18,34 +18,42 @@ def impurity_importance(spark: SparkSession, model: Model, names: list[str]) ->
         .orderBy(F.desc("feature_importance"), "variable")
 
 
-def shuffled_features(rows: DataFrame, key: list[str], repeats: int, seed: int, rows_per_bucket: int,
-                      features: str) -> DataFrame:
+# Hash buckets per repeat that a permutation is made of.
+BUCKETS = 4096
+
+
+def shuffled_features(rows: DataFrame, key: list[str], repeats: int, seed: int, features: str,
+                      buckets: int = BUCKETS) -> DataFrame:
     """Every row ``repeats`` times, with the features of another row chosen at random as
     ``_other``.
 
-    Rows fall into hash buckets of bounded size, different ones per repeat; inside a bucket
-    each row takes the features of the next one in random order, the last those of the
-    first. That permutes every feature, and no task holds more than a bucket.
+    Rows fall into hash buckets, different ones per repeat; each row takes the features of
+    the next one in hash order, the last of a bucket those of the first row of the next
+    bucket that has rows, and the last of all those of the first. That is one cycle through
+    all rows, so it permutes every feature, whatever the number of rows.
     """
-    buckets = max(1, -(-rows.count() // rows_per_bucket))
     base = rows.select("*", vector_to_array(features).alias("_f")) \
         .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     h = F.xxhash64(*key, "repeat", F.lit(seed))
     base = base.withColumns({"_h": h, "_bucket": F.pmod(F.xxhash64(h, F.lit("bucket")), F.lit(buckets))})
-    bucket = W.partitionBy("repeat", "_bucket")
-    order = bucket.orderBy("_h", *key)
-    return base.withColumn("_other", F.coalesce(F.lead("_f").over(order), F.first("_f").over(
-        order.rowsBetween(W.unboundedPreceding, 0)))).drop("_h", "_bucket")
+    firsts = base.groupBy("repeat", "_bucket").agg(F.min_by("_f", F.struct("_h", *key)).alias("_first"))
+    # at most one row per bucket and repeat
+    ring = W.partitionBy("repeat").orderBy("_bucket")
+    following = F.coalesce(F.lead("_first").over(ring), F.first("_first").over(ring.rowsBetween(W.unboundedPreceding, 0)))
+    firsts = firsts.select("repeat", "_bucket", following.alias("_after"))
+    order = W.partitionBy("repeat", "_bucket").orderBy("_h", *key)
+    ordered = base.withColumn("_lead", F.lead("_f").over(order)).join(firsts, ["repeat", "_bucket"])
+    return ordered.withColumn("_other", F.coalesce("_lead", "_after")).drop("_h", "_bucket", "_lead", "_after")
 
 
 def permutation_importance(model: Model, test: DataFrame, target: str, key: list[str], names: list[str],
-                           repeats: int = 5, metric: str = "r2", seed: int = SEED, rows_per_bucket: int = 50_000,
-                           features: str = "features") -> DataFrame:
+                           repeats: int = 5, metric: str = "r2", seed: int = SEED, features: str = "features",
+                           buckets: int = BUCKETS) -> DataFrame:
     """How much worse the model gets when one feature is shuffled: ``feature, weight, std``
     over the repeats. All features and repeats are scored in one job; the copies with one
     feature exchanged are made row by row after the shuffle."""
     rows = test.select(*key, F.col(target).cast("double").alias("_y"), features)
-    shuffled = shuffled_features(rows, key, repeats, seed, rows_per_bucket, features)
+    shuffled = shuffled_features(rows, key, repeats, seed, features, buckets)
     copies = shuffled.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
     parts = [f"_x{i}" for i in range(len(names))]
     exchanged = [F.when(F.col("_j") == i, F.col("_other")[i]).otherwise(F.col("_f")[i]).alias(x)

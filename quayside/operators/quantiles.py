@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quayside.operators.joins import enrich, measured
+from quayside.operators.windows import accumulate
 
 # Ranks of the sketch are right to within one part in this many.
 SKETCH_ACCURACY = 10_000
@@ -16,36 +17,33 @@ def quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None
 
     A mergeable sketch first gives bounds that surely hold each wanted rank. One further
     pass counts the rows below the bounds and the rows at each distinct value between
-    them; only those counts, a few parts in ``accuracy`` of the distinct values, are put
-    in order. Equal values are summed before the shuffle, so a hot value costs nothing.
+    them, and takes the next value on either side; only those counts, a few parts in ``accuracy`` of
+    the distinct values, are range-sorted and added up along many tasks. Equal values are
+    summed before the shuffle, so a hot value costs nothing.
     """
     by = by or []
     df = df.select(*by, col).filter(F.col(col).isNotNull())
     pad = 3.0 / accuracy
     low = [max(0.0, p - pad) for p in probs]
     high = [min(1.0, p + pad) for p in probs]
-    bounds = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(col).alias("_min"), F.max(col).alias("_max"),
-        F.percentile_approx(col, low + high, accuracy).alias("_p"))
-    small = F.col("_n") < accuracy
+    bounds = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(col, low + high, accuracy).alias("_p"))
     brackets = bounds.select(*by, F.array(*(
         F.struct(F.lit(p).alias("prob"), (F.lit(p) * (F.col("_n") - 1)).alias("_rank"),
-                 F.when(small, F.col("_min")).otherwise(F.col("_p")[i]).alias("_lo"),
-                 F.when(small, F.col("_max")).otherwise(F.col("_p")[len(probs) + i]).alias("_hi"))
+                 F.col("_p")[i].alias("_lo"), F.col("_p")[len(probs) + i].alias("_hi"))
         for i, p in enumerate(probs))).alias("_b"))
     same = {c: c for c in by}
     rows = enrich(df, measured(brackets), same, "inner", null_safe=True) if by else df.withColumn("_b", brackets.scalar())
     rows = rows.select(*by, F.col(col).alias("_x"), F.explode("_b").alias("_e")).select(*by, "_x", "_e.*")
-    value = F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))
-    counted = (rows.filter(F.col("_x") <= F.col("_hi"))
-               .groupBy(*by, "prob", "_rank", value.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    ordered = W.partitionBy(*by, "prob", "_rank").orderBy(F.asc_nulls_first("_v"))
-    upto = F.sum("_c").over(ordered.rowsBetween(W.unboundedPreceding, 0))
-    placed = counted.withColumn("_upto", upto).filter(F.col("_v").isNotNull())
+    side = F.when(F.col("_x") < F.col("_lo"), -1).when(F.col("_x") <= F.col("_hi"), 0).otherwise(1)
+    keys = [*by, "prob", "_rank"]
+    counted = rows.groupBy(*keys, side.alias("_side"), F.when(side == 0, F.col("_x")).alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most")) \
+        .withColumn("_value", F.when(F.col("_side") < 0, F.col("_most")).otherwise(F.col("_least"))).drop("_least", "_most")
+    placed = accumulate(counted, [F.col("_side"), F.col("_v")], {"_upto": ("sum", "_c")}, keys)
     # value at 0-based rank k is the first whose running count exceeds k
-    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_value")))
     fraction = F.col("_rank") - F.floor("_rank")
-    return (placed.groupBy(*by, "prob", "_rank")
+    return (placed.groupBy(*keys)
             .agg(at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_z"))
             .select(*by, "prob", (F.col("_a") + (F.col("_z") - F.col("_a")) * fraction).alias("value")))
 

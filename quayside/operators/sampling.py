@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from quayside.fixed_values import SEED
 from quayside.operators.joins import enrich, measured
 
-# Hex digits of the hash that form a bucket: 16**4 buckets.
+# Hex digits of the hash that form a bucket: 16**4 buckets, and as many within the bucket cut.
 BUCKET_DIGITS = 4
 
 
@@ -25,24 +25,20 @@ def take_by_hash(df: DataFrame, by: list[str], quota: Column, key: list[str], se
     tells rows apart.
 
     ``quota`` is an expression over ``_n``, the rows of the stratum. Rows are counted per
-    hash bucket; the running count shows in which bucket the quota ends, and only the
-    hashes of that bucket are ranked to find the last one taken. A stratum that holds a
-    third of the table is thus never sorted in one task, and the rows themselves are only
-    compared with one hash per stratum, not shuffled.
+    hash bucket; the running count shows in which bucket the quota ends, that bucket is
+    counted again by further digits, and only the hashes of the finer bucket are ranked to
+    find the last one taken: of 16**8 buckets in all one is sorted per stratum. The rows
+    themselves are only compared with one hash per stratum, not shuffled.
     """
-    hashes = df.select(*by, row_hash(key, seed).alias("_h")).withColumn("_bucket", F.left("_h", F.lit(BUCKET_DIGITS)))
-    counts = hashes.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    # windows over the buckets of a stratum, not over its rows
-    stratum = W.partitionBy(*by)
-    upto = F.sum("_c").over(stratum.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
-    summed = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(stratum)}).withColumn("_quota", quota.cast("long"))
-    before = F.col("_upto") - F.col("_c")
-    cut = measured(summed.filter((before < F.col("_quota")) & (F.col("_upto") >= F.col("_quota")))
-                   .select(*by, "_bucket", (F.col("_quota") - before).alias("_left")))
-    strata = {c: c for c in by}
-    edge = enrich(hashes, cut, {**strata, "_bucket": "_bucket"}, "inner", null_safe=bool(by))
+    hashes = df.select(*by, row_hash(key, seed).alias("_h"))
+    edge, wanted = hashes, None
+    for digits in (BUCKET_DIGITS, 2 * BUCKET_DIGITS):
+        edge = edge.withColumn("_bucket", F.left("_h", F.lit(digits)))
+        wanted = _cut(edge, by, quota if wanted is None else F.col("_left"))
+        edge = enrich(edge.select(*by, "_h", "_bucket"), wanted, {**{c: c for c in by}, "_bucket": "_bucket"}, "inner", null_safe=bool(by))
     ranked = edge.withColumn("_rank", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_h")))
     last = measured(ranked.filter(F.col("_rank") == F.col("_left")).select(*by, F.col("_h").alias("_last")))
+    strata = {c: c for c in by}
     if by:
         marked = enrich(df, last, strata, "left", null_safe=True)
     else:
@@ -50,6 +46,19 @@ def take_by_hash(df: DataFrame, by: list[str], quota: Column, key: list[str], se
     return marked.withColumn(flag, F.coalesce(row_hash(key, seed) <= F.col("_last"), F.lit(False))).drop("_last")
 
 
+def _cut(hashes: DataFrame, by: list[str], quota: Column) -> DataFrame:
+    """The bucket of each stratum in which its quota ends, and how many rows of it are still taken."""
+    seen = [F.first("_left").alias("_left")] if "_left" in hashes.columns else []
+    counts = hashes.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"), *seen)
+    # windows over the buckets of a stratum, not over its rows
+    stratum = W.partitionBy(*by)
+    upto = F.sum("_c").over(stratum.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0))
+    summed = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(stratum)}).withColumn("_quota", quota.cast("long"))
+    before = F.col("_upto") - F.col("_c")
+    return measured(summed.filter((before < F.col("_quota")) & (F.col("_upto") >= F.col("_quota")))
+                    .select(*by, "_bucket", (F.col("_quota") - before).alias("_left")))
+
+
 def stratified_split(df: DataFrame, by: list[str], test: float, key: list[str], seed: int = SEED) -> DataFrame:
     """Adds ``is_test``: exactly ``ceil(test * n)`` rows of every stratum."""
     return take_by_hash(df, by, F.ceil(F.lit(test) * F.col("_n")), key, seed, "is_test")
@@ -67,9 +76,11 @@ def sample_n(df: DataFrame, n: int, key: list[str], seed: int = SEED) -> DataFra
     return take_by_hash(df, [], F.least(F.lit(n), F.col("_n")), key, seed).filter("chosen").drop("chosen")
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = SEED) -> DataFrame:
-    """About this share of the rows, in one pass without a shuffle."""
-    return df.sample(fraction=fraction, seed=seed)
+def sample_fraction(df: DataFrame, fraction: float, key: list[str], seed: int = SEED) -> DataFrame:
+    """About this share of the rows, by the hash of their key: the same rows on any
+    partitioning, in one pass without a shuffle."""
+    below = f"{min(int(fraction * 16 ** 8), 16 ** 8 - 1):08x}"
+    return df if fraction >= 1 else df.filter(row_hash(key, seed) < below)
 
 
 def time_split(df: DataFrame, period: str, train_rows: int | None = None, first_test=None) -> DataFrame:

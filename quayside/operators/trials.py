@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quayside.operators.windows import row_numbers, running
+from quayside.operators.windows import accumulate, row_numbers
 
 
 def parse_params(c: Column | str) -> Column:
@@ -32,8 +32,6 @@ def rank_trials(log: DataFrame, metric: str = "loss", tie: str = "iteration") ->
     return row_numbers(log, [F.col(metric), F.col(tie)], "rank")
 
 
-def best_so_far(log: DataFrame, metric: str = "loss", order: str = "iteration", seconds: str = "train_time",
-                block_size: int = 100_000) -> DataFrame:
+def best_so_far(log: DataFrame, metric: str = "loss", order: str = "iteration", seconds: str = "train_time") -> DataFrame:
     """Best metric and total time up to each trial."""
-    return running(log, order, F.floor(F.col(order) / block_size),
-                   {"best_so_far": ("min", metric), "total_time": ("sum", seconds)})
+    return accumulate(log, [F.col(order)], {"best_so_far": ("min", metric), "total_time": ("sum", seconds)})

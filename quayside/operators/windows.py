@@ -71,8 +71,23 @@ def running(df: DataFrame, order: str, block: Column, measures: dict[str, tuple[
     block is summarised, the summaries are accumulated (one row per block), and rows only
     look back within their own block. ``measures`` is ``{output: (kind, column)}``.
     """
+    return _carried(df.withColumn("_block", block), order, measures, keys or [])
+
+
+def accumulate(df: DataFrame, order: list[Column], measures: dict[str, tuple[str, str]], keys: list[str] | None = None) -> DataFrame:
+    """Running ``min``, ``max`` or ``sum`` in a total order, per ``keys`` if given.
+
+    The rows are range-sorted and settled; each sorted partition is a block of
+    :func:`running`, so blocks hold equally many rows whatever the values, a group with a
+    third of all rows included, and the summaries are one row per partition and group.
+    """
     keys = keys or []
-    df = df.withColumn("_block", block)
+    placed = settle(df.orderBy(*keys, *order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    return _carried(placed.withColumn("_block", F.shiftright("_at", 33)), "_at", measures, keys).drop("_at")
+
+
+def _carried(df: DataFrame, order: str, measures: dict[str, tuple[str, str]], keys: list[str]) -> DataFrame:
+    """Rows with a ``_block``: running values within it, on top of what the blocks before add up to."""
     summaries = df.groupBy(*keys, "_block").agg(
         *(_RUNNING[kind][0](col).alias(f"_s_{out}") for out, (kind, col) in measures.items()))
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

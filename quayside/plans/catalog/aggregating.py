@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quayside.fixed_values import HS_CLASSES
 from quayside.operators import aggregates, quantiles
 from quayside.operators.columns import filter_in
 from quayside.operators.trials import trials_to_columns
@@ -64,10 +65,18 @@ def count_distinct(t):
                                      ["us_company", "foreign_company", "hs_class", "ship_date"])
 
 
-@query("approx_distinct")
+COUNTED = ["us_company", "foreign_company", "hs_class", "ship_date"]
+
+
+@query("approx_distinct", f"""
+    select {", ".join(f"count(distinct {c}) as {c}, true as {c}_near" for c in COUNTED)}
+    from {shipments_sql("part", "supplier", "customer")}""")
 def approx_distinct(t):
-    return aggregates.count_distinct(t.shipments("part", "supplier", "customer"),
-                                     ["us_company", "foreign_company", "hs_class", "ship_date"], approximate=True)
+    """Exact counts, and whether the sketch is within five of its standard errors."""
+    s = t.shipments("part", "supplier", "customer")
+    exact = aggregates.count_distinct(s, COUNTED)
+    sketch = aggregates.count_distinct(s, COUNTED, approximate=True, rsd=0.02).select(F.struct(*COUNTED)).scalar()
+    return exact.select(*COUNTED, *((F.abs(F.col(c) - sketch[c]) <= 0.1 * F.col(c)).alias(f"{c}_near") for c in COUNTED))
 
 
 @query("profile_columns", """
@@ -174,11 +183,10 @@ def trend_regression(t):
 
 @query("composition_by_year", f"""
     select trade_direction, hs_group, year, count(*) as n, round(sum(metric_tons), 4) as volume
-    from {shipments_sql("part")} where hs_class in (2, 7, 8, 9, 10, 11, 14, 15, 16, 17, 18, 19, 20, 22, 24)
+    from {shipments_sql("part")} where hs_class in ({", ".join(map(str, HS_CLASSES))})
     group by trade_direction, hs_group, year""")
 def composition_by_year(t):
-    from quayside.fixed_values import HS_CLASSES
-    s = filter_in(t.shipments("part"), "hs_class", [c for c in HS_CLASSES if c <= 25])
+    s = filter_in(t.shipments("part"), "hs_class", HS_CLASSES)
     return rounded(aggregates.composition(s, ["trade_direction", "hs_group", "year"], "metric_tons"), 4, "volume")
 
 

@@ -94,7 +94,7 @@ def rank_trials(t):
     select iteration, loss, min(loss) over w as best_so_far, sum(train_time) over w as total_time
     from {TRIALS_SQL} window w as (order by iteration rows between unbounded preceding and current row)""")
 def best_so_far(t):
-    return running_best(t.trials(), block_size=1_000).select("iteration", "loss", "best_so_far", "total_time")
+    return running_best(t.trials()).select("iteration", "loss", "best_so_far", "total_time")
 
 
 @query("zscore_filter", """

@@ -18,7 +18,7 @@ from quayside.functions.timekeys import days_between, parse_date, time_features,
 from quayside.operators.aggregates import totals_over, weekly_sum
 from quayside.operators.columns import conform, dedupe, filter_in, require, with_constants
 from quayside.operators.joins import (enrich, keep_qualifying, keyed, measured, outer_period_join, preserve_dim,
-                                       semi_qualifying, standardise)
+                                       semi_qualifying, standardise, unmatched)
 from quayside.operators.outliers import outlier_chain
 from quayside.operators.sets import union_conformed
 from quayside.operators.windows import pct_from_baseline
@@ -244,7 +244,8 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def standardise_names(fact: DataFrame, side: SideTables) -> DataFrame:
-    """Curated names instead of raw ones; rows with a name no map has are dropped."""
+    """Curated names instead of raw ones; rows with a name no map has are dropped. The country
+    of the foreign company is optional: rows with a code no map has stay, without one."""
     out = standardise(fact, keyed(side.us_companies, "us_company"), "us_company", "us_company_clustered")
     out = standardise(out, keyed(side.foreign_companies, "foreign_company"), "foreign_company", "foreign_company_clustered")
     out = standardise(out, keyed(side.carriers.select("carrier", "carrier_size"), "carrier"), "carrier", "carrier_size")
@@ -254,17 +255,54 @@ def standardise_names(fact: DataFrame, side: SideTables) -> DataFrame:
         "foreign_company_country", F.col("name").alias("foreign_company_country_clustered"),
         F.col("continent").alias("foreign_company_country_continent"))
     out = enrich(out, keyed(company, "foreign_company_country"),
-                 {"foreign_company_country": "foreign_company_country"}, "inner")
+                 {"foreign_company_country": "foreign_company_country"})
     country = side.countries.select("foreign_country", F.col("name").alias("foreign_country_clustered"),
                                     F.col("continent").alias("foreign_country_continent"))
     return enrich(out, keyed(country, "foreign_country"), {"foreign_country": "foreign_country"}, "inner")
 
 
 def add_regions(fact: DataFrame, regions: DataFrame) -> DataFrame:
-    """Region of the country (known ones only) and of the foreign company's country."""
+    """Region of the country (known ones only) and of the foreign company's country.
+
+    Some countries stand in the region table under the name of the name map, others under
+    the name of the tariff table, so a country is looked up by both.
+    """
     names = keyed(regions.select("name", "region"), "name")
-    out = enrich(fact, names, {"foreign_country_clustered": "name"}, "inner", role="foreign_country_")
-    return enrich(out, names, {"foreign_company_country_clustered": "name"}, "left", role="foreign_company_country_")
+    other = {raw: clean for clean, raw in fixed.COUNTRY_NAMES.items()}
+    under = F.explode(F.array_distinct(F.array(F.col("name"), recode("name", other)))).alias("name")
+    # a name of the table stands for itself before it stands for another
+    both = names.select(under, "region", F.col("name").alias("_own")).groupBy("name") \
+        .agg(F.min_by("region", F.col("_own") != F.col("name")).alias("region"))
+    both = measured(both)
+    out = enrich(fact, both, {"foreign_country_clustered": "name"}, "inner", role="foreign_country_")
+    return enrich(out, both, {"foreign_company_country_clustered": "name"}, "left", role="foreign_company_country_")
+
+
+# The joins that rows can be lost in: step, column of the fact, side table, its key.
+LOSSY_STEPS = [("us_company", "us_companies", "us_company"), ("foreign_company", "foreign_companies", "foreign_company"),
+               ("carrier", "carriers", "carrier"), ("us_port", "us_ports", "us_port"), ("foreign_country", "countries", "foreign_country")]
+
+
+def lost_names(fact: DataFrame, side: SideTables) -> DataFrame:
+    """What the name maps and the region table lack: ``step, name, n``, a row per raw name of
+    :func:`parse_parties` that no map has and per clean country without a region, with the rows it has.
+    Each step is judged on all rows, not only on those the steps before left."""
+    out = None
+
+    def add(step: str, rows: DataFrame, column: str, dim: DataFrame, key: str):
+        nonlocal out
+        counts = rows.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        part = unmatched(counts, dim.select(F.col(key).alias("_key")).distinct(), {"name": "_key"}) \
+            .select(F.lit(step).alias("step"), "name", "n")
+        out = part if out is None else out.unionAll(part)
+    for column, table, key in LOSSY_STEPS:
+        add(column, fact, column, getattr(side, table), key)
+    country = keyed(side.countries.select("foreign_country", F.col("name").alias("_clean")), "foreign_country")
+    named = enrich(fact, country, {"foreign_country": "foreign_country"}, "inner")
+    regions = side.regions.select("name").filter(F.col("name").isNotNull())
+    known = regions.unionAll(regions.select(recode("name", {v: k for k, v in fixed.COUNTRY_NAMES.items()})))
+    add("region", named, "_clean", known, "name")
+    return out
 
 
 # Value column and baseline columns of the two weekly counts.
@@ -275,15 +313,17 @@ BASELINES = {
 
 
 def build_warehouse(imports: DataFrame, exports: DataFrame, side: SideTables,
-                    min_total: float = fixed.MIN_ENTITY_TONS) -> DataFrame:
-    """The whole build.
+                    min_total: float = fixed.MIN_ENTITY_TONS, last_count_year: int | None = 2020) -> DataFrame:
+    """The whole build. Weekly counts after ``last_count_year`` are left out, none if it is None.
 
     The fact is written to the shared folder twice: before the company totals and after
     the outlier passes. Both parts read their input several times, and a table costs less
     than the joins and the distinct before it. Baselines depend on the weekly counts
     alone, so they are taken there, on a few rows per state, and come along in the join.
     """
-    fact = parse_parties(classify_products(build_fact(imports, exports), side.hs_groups.drop("description")))
+    # copies go with the distinct before the totals
+    raw = union_conformed(conform_imports(imports), conform_exports(exports))
+    fact = parse_parties(classify_products(raw, side.hs_groups.drop("description")))
     fact = add_regions(standardise_names(fact, side), side.regions)
     fact = fact.withColumns({
         "us_port_state": port_state("us_port_clustered"),
@@ -301,7 +341,7 @@ def build_warehouse(imports: DataFrame, exports: DataFrame, side: SideTables,
     states = keyed(side.states.select("state", "state_code", "state_region"), "state_code")
     fact = enrich(fact, states, {"us_port_state": "state_code"})
     fact = preserve_dim(fact, keyed(side.closures, "state"), {"state": "state"})
-    weekly = weekly_cases(side.cases, side.states)
+    weekly = weekly_cases(side.cases, side.states, last_count_year)
     for value, names in BASELINES.items():
         weekly = first_period_change(weekly, "state_code", "date_weekly", value, *names)
     fact = closure_lead(weekly_shocks(fact, weekly))

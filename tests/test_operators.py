@@ -161,8 +161,10 @@ def test_quantiles_beyond_the_sketch_and_with_a_hot_value(spark):
 
 # ---- outliers
 
-def test_constant_column_keeps_nothing(spark):
-    assert outliers.drop_outliers(spark.range(10).withColumn("x", F.lit(1.0)), "x").count() == 0
+def test_constant_column_keeps_all(spark):
+    constant = spark.range(10).withColumn("x", F.when(F.col("id") > 0, 1.0))
+    assert outliers.drop_outliers(constant, "x").count() == 9  # a null has no distance
+    assert outliers.drop_outliers(constant.withColumn("k", F.col("id") % 3), "x", by=["k"]).count() == 9
 
 
 def test_chain_uses_fresh_moments(spark):
@@ -237,7 +239,7 @@ def test_null_groups_are_groups(spark):
     assert {(r.k, r.value) for r in quantiles.quantiles(df, "x", [0.5], ["k"]).collect()} == {(None, 4.0), ("a", 5.0)}
     running = windows.running(df.withColumn("i", F.col("x").cast("int")), "i", F.floor(F.col("i") / 4), {"s": ("sum", "x")}, ["k"])
     assert running.count() == 10 and running.filter("k is null").agg(F.max("s")).first()[0] == 36.0
-    assert outliers.drop_outliers(df, "x", 3.5, ["k"]).count() == 9
+    assert outliers.drop_outliers(df, "x", 3.5, ["k"]).count() == 10
 
 
 @pytest.mark.parametrize("block", [7, 100, 10_000])

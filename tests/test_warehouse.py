@@ -51,7 +51,7 @@ SIDE = {
                           ["ts", "", "", ""], ["  ", "x", "", ""]],
     "countries": [["Foreign_Country", "Name", "Code", "Continent"], ["VIETNAM RAW", "Viet Nam", "VN", "Asia"],
                   ["CHILE RAW", "Chile", "CL", "South America"], ["UNKNOWN", "", "", ""]],
-    "regions": [["Name", "Country Code", "Continent", "Region"], ["Viet Nam", "VN", "Asia", "Eastern Asia"],
+    "regions": [["Name", "Country Code", "Continent", "Region"], ["Vietnam", "VN", "Asia", "Eastern Asia"],
                 ["Chile", "CL", "South America", "South America"], ["", "", "", ""]],
     "unemployment": [["Month", "Year-Month", "Total", "Rate"], ["Mar", "2020-03", "7,140", 4.4], ["Jun", "2020-06", "17,697", 11.1],
                      ["", "", "", ""]],
@@ -164,3 +164,34 @@ def test_first_period_when_all_zero(spark):
     out = {(r.k, str(r.t)): r for r in warehouse.baseline_change(df, "k", "t", "v", "t0", "v0", "pct").collect()}
     assert (out["a", "2020-01-13"].t0, out["a", "2020-01-13"].pct) == ("2020-01-06", None)
     assert (out["b", "None"].t0, out["b", "None"].v0, out["b", "None"].pct) == ("Not Applicable", 0, 0.0)
+
+
+COUNTRIES = ["Viet Nam", "Russian Federation", "Tanzania, United Republic of", "Taiwan, Province of China",
+             "Bolivia, Plurinational State of", "Chile", "Nowhere"]
+# under the names of the tariff table or under those of the name map, as the real table has them
+REGION_NAMES = ["Vietnam", "Russia", "Tanzania", "Taiwan, Province of China", "Bolivia, Plurinational State of", "Chile"]
+
+
+def test_countries_of_two_names_keep_their_rows(spark):
+    fact = spark.createDataFrame([(c, c) for c in COUNTRIES], "foreign_country_clustered string, foreign_company_country_clustered string")
+    regions = spark.createDataFrame([(n, f"region of {n}") for n in REGION_NAMES], "name string, region string")
+    out = {r.foreign_country_clustered: r for r in warehouse.add_regions(fact, regions).collect()}
+    assert set(out) == set(COUNTRIES) - {"Nowhere"}
+    assert all(r.foreign_country_region == r.foreign_company_country_region for r in out.values())
+    assert out["Viet Nam"].foreign_country_region == "region of Vietnam"
+    assert out["Taiwan, Province of China"].foreign_country_region == "region of Taiwan, Province of China"
+
+
+def test_company_country_is_optional(spark):
+    text = lambda name: spark.createDataFrame([("a", "A", "x", "y")], f"{name} string, {name}_clustered string, carrier_size string, us_port_coastal_region string")
+    country = lambda key: spark.createDataFrame([("a", "Chile", "South America")], f"{key} string, name string, continent string")
+    side = warehouse.SideTables(**{**dict.fromkeys(warehouse.SIDE_FILES), "us_companies": text("us_company"),
+                                   "foreign_companies": text("foreign_company"), "carriers": text("carrier"), "us_ports": text("us_port"),
+                                   "company_countries": country("foreign_company_country"), "countries": country("foreign_country"),
+                                   "regions": spark.createDataFrame([("Chile", "South")], "name string, region string")})
+    names = "us_company foreign_company carrier us_port foreign_company_country foreign_country".split()
+    rows = [["a"] * 6, ["a", "a", "a", "a", "NA", "a"], ["a", "a", "a", "a", None, "a"], ["b", "a", "a", "a", "a", "a"], ["a", "a", None, "a", "a", "c"]]
+    fact = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    assert warehouse.standardise_names(fact, side).count() == 3
+    lost = {(r.step, r["name"], r.n) for r in warehouse.lost_names(fact, side).collect()}
+    assert lost == {("us_company", "b", 1), ("carrier", None, 1), ("foreign_country", "c", 1)}
