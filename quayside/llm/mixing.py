@@ -112,7 +112,7 @@ def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str
     the source, then the number of documents of each length that make up the rest
     (:func:`fit_budget`). Which documents of a length are taken follows a seeded hash of id
     and text, so reruns and other partitionings agree. Ranks within a length are counted in
-    4,096 hash pieces, so a length that a third of all rows share is no single task.
+    1,024 hash pieces, so a length that a third of all rows share is no single task.
 
     Null sources are a source, ordered last. Null and empty texts have size 0 and take part
     in whole passes only. Null ids are told apart by their text; of fully repeated rows any
@@ -130,10 +130,10 @@ def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str
     plan = lengths.withColumnRenamed("s", "source").groupBy("source", "no_source").applyInPandas(_plan, PLAN_SCHEMA)
     plan = settle(plan.withColumnRenamed("source", "s"), "plan")
     order = F.xxhash64("doc_id", "t1", F.lit(seed))
-    hashed = rows.withColumn("order", order).withColumn("piece", F.shiftrightunsigned("order", 52))
+    hashed = rows.withColumn("order", order).withColumn("piece", F.shiftrightunsigned("order", 54))
     group = [*key, "size"]
     counts = hashed.groupBy(*group, "piece").agg(F.count(F.lit(1)).alias("c"))
-    before = W.partitionBy(*group).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)  # at most 4,096 rows
+    before = W.partitionBy(*group).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)  # at most 1,024 rows
     offsets = counts.select(*group, "piece", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
     within = W.partitionBy(*group, "piece").orderBy("order", "doc_id", "t1")
     ranked = hashed.withColumn("at", F.row_number().over(within)).join(offsets, [*group, "piece"])
