@@ -225,3 +225,150 @@ def closure_lead(t):
         "carrier", us_style("order_date").alias("date_announced"),
         F.when(F.col("tax") > 0.0, us_style("ship_date")).otherwise("NA").alias("effective_date"))
     return warehouse.closure_lead(written).groupBy("carrier", "state_closure_ea_diff").agg(F.count(F.lit(1)).alias("n"))
+
+
+def side_tables(t) -> warehouse.SideTables:
+    """Side tables of the build from the test tables; some lack names, as the real ones do."""
+    text = lambda c: F.col(c).cast("string")
+    n, region = t.nation, t.nations
+    month = lambda c: F.date_format(c, "yyyy-MM")
+    key = text("n_nationkey")
+    s = t.shipments("part", "customer").join(n.select(F.col("n_nationkey").alias("foreign_nation"), "n_name"), "foreign_nation")
+    fillers = lambda raw, clean, **names: t.spark.createDataFrame(list(names.items()), f"{raw} string, {clean} string")
+    tariffs = s.filter("discount >= 0.05").groupBy(F.col("n_name").alias("country"), F.col("hs_class").alias("hs_family"), F.col("year").alias("tariff_year")) \
+        .agg(F.format_number(F.max("value_usd"), 2).alias("average_tariff"), F.when(F.max("status") == "F", "Yes").otherwise("No").alias("free_trade_agreement_with_us")) \
+        .withColumn("european_union", F.when(F.col("country") < "NATION_2", "Yes").otherwise("No"))
+    return warehouse.SideTables(
+        hs_groups=_groups(t),
+        us_companies=t.supplier.filter("s_suppkey % 10 <> 0").select(
+            F.concat("s_name", F.lit(", INC, N"), text("s_nationkey")).alias("us_company"), F.col("s_name").alias("us_company_clustered"))
+        .unionAll(fillers("us_company", "us_company_clustered", **{"Not Provided": "NOT AVAILABLE"})),
+        foreign_companies=t.customer.filter("c_custkey % 10 <> 0").select(
+            F.concat("c_name", F.lit(" ("), F.char(F.col("c_nationkey") + 65), F.lit("X)")).alias("foreign_company"), F.col("c_name").alias("foreign_company_clustered"))
+        .unionAll(fillers("foreign_company", "foreign_company_clustered", **{"Not Provided": "NOT AVAILABLE", "Not Applicable to Exports": "Not Applicable to Exports"})),
+        carriers=t.orders.select(F.col("o_orderpriority").alias("carrier")).distinct().filter("carrier not like '5%'")
+        .select("carrier", F.col("carrier").alias("carrier_clustered"), F.when(F.col("carrier") < "3", "huge").otherwise("small").alias("carrier_size")),
+        us_ports=region.select(F.concat(F.lit("PORT "), text("nation_key"), F.lit(", N"), text("nation_key")).alias("us_port"),
+                               F.concat(F.lit("PORT "), text("nation_key"), F.lit(",N"), text("nation_key")).alias("us_port_clustered"),
+                               F.col("region").alias("us_port_coastal_region")),
+        company_countries=region.filter("nation_key < 20").select(F.concat(F.char(F.col("nation_key") + 65), F.lit("X")).alias("foreign_company_country"),
+                                                                  F.col("country").alias("name"), F.col("region").alias("continent")),
+        countries=region.filter("nation_key <> 3").select(F.concat(F.lit("NATION_"), text("nation_key")).alias("foreign_country"),
+                                                          F.col("country").alias("name"), F.col("region").alias("continent")),
+        regions=region.filter("nation_key <> 4").select(F.col("country").alias("name"), "region"),
+        unemployment=t.orders.groupBy(month("o_orderdate").alias("year_month")).agg(F.max("o_totalprice").alias("unemployment_rate")),
+        tariffs=tariffs,
+        currencies=s.filter("status = 'F'").groupBy(F.col("n_name").alias("country"), month(F.trunc("ship_date", "month")).alias("month_year"))
+        .agg(F.max("segment").alias("currency"), F.max("tax").alias("price")),
+        states=region.select(F.col("country").alias("state"), F.concat(F.lit("N"), text("nation_key")).alias("state_code"), F.col("region").alias("state_region")),
+        closures=n.filter("n_nationkey <> 7").select(F.col("n_name").alias("state"), F.concat(F.lit("3/"), F.col("n_nationkey") + 1, F.lit("/2020")).alias("date_announced"),
+                                                     F.when(F.col("n_nationkey") % 5 == 0, "NA").otherwise(F.concat(F.lit("4/"), F.col("n_nationkey") + 1, F.lit("/2020"))).alias("effective_date")),
+        cases=cases(t).filter("event_type = 'error'").select("date", "state", "cases", "deaths"))
+
+
+BUILT = ["trade_direction", "carrier_size", "us_company_size", "foreign_company_size", "foreign_country_region",
+         "foreign_company_country_region", "us_port_coastal_region", "state", "state_region", "year", "european_union",
+         "time0_state_case", "state_closure_ea_diff"]
+
+
+SIDES_SQL = f"""
+    places as (select *, 'N' || nation_key as code from {NATIONS_SQL}),
+    us_names as (select s_name || ', INC, N' || s_nationkey as raw, s_name as us from supplier where s_suppkey % 10 <> 0
+        union all select 'Not Provided', 'NOT AVAILABLE'),
+    foreign_names as (select c_name || ' (' || chr(65 + cast(c_nationkey as int)) || 'X)' as raw, c_name as abroad from customer where c_custkey % 10 <> 0
+        union all select 'Not Provided', 'NOT AVAILABLE' union all select 'Not Applicable to Exports', 'Not Applicable to Exports'),
+    parties as (select *, coalesce(us_company, 'Not Provided') as us_raw, coalesce(foreign_company, 'Not Provided') as foreign_raw,
+        coalesce(right(regexp_replace(foreign_company, '[()\\d]+', '', 'g'), 2), 'Not Provided') as company_code from {CLASSED_SQL})"""
+
+
+def _z_sql(source: str, column: str) -> str:
+    return f"(select * from {source} where abs({column} - (select avg({column}) from {source})) < 3.5 * (select stddev_samp({column}) from {source}))"
+
+
+def _class_sql(entity: str) -> str:
+    return (f"case when {entity} = 'NOT AVAILABLE' then 'unknown' when sum(metric_tons) <= 1000 then 'micro' when sum(metric_tons) <= 10000 then 'small' "
+            f"when sum(metric_tons) <= 100000 then 'medium' when sum(metric_tons) <= 1000000 then 'large' else 'huge' end")
+
+
+def _first_sql(value: str) -> str:
+    return f"select state_code, min_by(date_weekly, ({value} = 0, date_weekly)) as t0, min_by({value}, ({value} = 0, date_weekly)) as v0 from weekly group by 1"
+
+
+BUILT_SQL = f"""
+    with {SIDES_SQL},
+    named as (select distinct date, foreign_country, us_port, teus, metric_tons, tcvusd, container_type_refrigerated, container_type_dry,
+            trade_direction, hs_class, hs_mixed, group_name, company_code, us, abroad, case when carrier < '3' then 'huge' else 'small' end as carrier_size,
+            p.region as us_port_coastal_region, p.code as port_code, h.country as home, h.region as foreign_country_region,
+            c.region as foreign_company_country_region
+        from parties join us_names u on us_raw = u.raw join foreign_names f on foreign_raw = f.raw
+        join places p on us_port = 'PORT ' || p.nation_key || ', N' || p.nation_key
+        join places h on foreign_country = 'NATION_' || h.nation_key and h.nation_key not in (3, 4)
+        left join places c on company_code = chr(65 + cast(c.nation_key as int)) || 'X' and c.nation_key < 20 and c.nation_key <> 4
+        where carrier not like '5%'),
+    us_sizes as (select us, {_class_sql("us")} as us_company_size from named group by us having sum(metric_tons) > 500),
+    sized as (select * from named join us_sizes using (us)),
+    foreign_sizes as (select abroad, {_class_sql("abroad")} as foreign_company_size from sized group by abroad having sum(metric_tons) > 500),
+    both_sized as (select * from sized join foreign_sizes using (abroad)),
+    z1 as {_z_sql("both_sized", "metric_tons")}, z2 as (select * from z1 where metric_tons < 250),
+    z3 as {_z_sql("z2", "teus")}, z4 as {_z_sql("z3", "tcvusd")},
+    dated as (select *, cast(strptime(date, '%Y%m%d') as date) as ship_date from z4),
+    timed as (select *, cast(year(ship_date) as int) as year, strftime(ship_date, '%Y-%m') as ym, strftime(ship_date, '%Y-w%U') as year_week from dated),
+    s as (select s.*, n_name, strftime(ship_date, '%Y-%m') as ym from {shipments_sql("part", "customer")} s join nation on foreign_nation = n_nationkey),
+    rates as (select strftime(o_orderdate, '%Y-%m') as ym, max(o_totalprice) as us_unemployment_rate from orders group by 1),
+    tariffs as (select n_name as home, hs_class, year, max(value_usd) as average_tariff, case when max(status) = 'F' then 'true' else 'false' end as fta,
+        case when n_name < 'NATION_2' then 'true' else 'false' end as european_union from s where discount >= 0.05 group by all),
+    prices as (select n_name as home, ym, max(segment) as currency, max(tax) as price from s where status = 'F' group by all),
+    economic as (select t.*, us_unemployment_rate, average_tariff, fta, european_union, currency, price from timed t join rates using (ym)
+        left join tariffs using (home, hs_class, year) left join prices using (home, ym)),
+    closures as (select n_name as state, 'N' || n_nationkey as code, n_regionkey, case when n_nationkey % 5 = 0 then null else 31 end as lead
+        from nation where n_nationkey <> 7),
+    placed as (select e.*, c.state, p.region as state_region, c.lead from economic e join closures c on port_code = c.code join places p on port_code = p.code),
+    weekly as (select code as state_code, {WEEK_SQL.replace("date +", "date - 7 +")} as date_weekly, cast(sum(cases) as bigint) as cases_weekly,
+        cast(sum(deaths) as bigint) as deaths_weekly from {CASES_SQL} join places on state = country where event_type = 'error' group by all),
+    first_cases as ({_first_sql("cases_weekly")}), first_deaths as ({_first_sql("deaths_weekly")}),
+    based as (select w.*, strftime(date_weekly, '%Y-w%U') as week, cast(c.t0 as varchar) as time0_state_case, c.v0 as case0,
+            cast(d.t0 as varchar) as time0_state_death, d.v0 as death0
+        from weekly w left join first_cases c on w.state_code = c.state_code and year(date_weekly) = year(c.t0)
+        left join first_deaths d on w.state_code = d.state_code and year(date_weekly) = year(d.t0)),
+    joined as (select foreign_country, us_port, teus, metric_tons, tcvusd, container_type_refrigerated, container_type_dry, trade_direction, hs_mixed,
+            group_name, company_code, carrier_size, us_port_coastal_region, foreign_country_region, foreign_company_country_region, us_company_size,
+            foreign_company_size, ship_date, year, year_week, us_unemployment_rate, average_tariff, fta, european_union, currency, price, state,
+            state_region, lead, b.* exclude (state_code, week)
+        from placed left join based b on port_code = b.state_code and year_week = b.week
+        union all by name
+        select 0.0::double as teus, 0.0::double as metric_tons, 0.0::double as tcvusd, 0.0::double as us_unemployment_rate, 0.0::double as average_tariff,
+            0.0::double as price, cast(year(date_weekly) as int) as year, week as year_week, * exclude (state_code, week)
+        from based b where not exists (select 1 from placed where port_code = b.state_code and year_week = b.week)
+        union all by name
+        select 0.0::double as teus, 0.0::double as metric_tons, 0.0::double as tcvusd, 0.0::double as us_unemployment_rate, 0.0::double as average_tariff,
+            0.0::double as price, state, lead from closures where state not in (select state from placed)),
+    built as (select distinct * replace (coalesce(cases_weekly, 0) as cases_weekly, coalesce(deaths_weekly, 0) as deaths_weekly,
+        case when date_weekly is null then 'Not Applicable' else time0_state_case end as time0_state_case) from joined)
+    select trade_direction, carrier_size, us_company_size, foreign_company_size, foreign_country_region, foreign_company_country_region,
+        us_port_coastal_region, state, state_region, year, european_union, time0_state_case, cast(lead as int) as state_closure_ea_diff, count(*) as n,
+        {", ".join(_exact(c) for c in ("metric_tons", "tcvusd", "us_unemployment_rate", "average_tariff", "price", "cases_weekly", "deaths_weekly"))}
+    from built group by all"""
+
+
+@query("warehouse_build", BUILT_SQL)
+def warehouse_build(t):
+    built = warehouse.build_warehouse(raw_imports(t), raw_exports(t), side_tables(t), min_total=500, last_count_year=None)
+    cents = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c)
+    return built.groupBy(*BUILT).agg(F.count(F.lit(1)).alias("n"), *(cents(c) for c in (
+        "metric_tons", "tcvusd", "us_unemployment_rate", "average_tariff", "price", "cases_weekly", "deaths_weekly")))
+
+
+@query("warehouse_losses", f"""
+    with {SIDES_SQL},
+    known as (select 'us_company' as step, raw from us_names union all select 'foreign_company', raw from foreign_names
+        union all select distinct 'carrier', o_orderpriority from orders where o_orderpriority not like '5%'
+        union all select 'us_port', 'PORT ' || nation_key || ', N' || nation_key from places
+        union all select 'foreign_country', 'NATION_' || nation_key from places where nation_key <> 3),
+    seen as (select 'us_company' as step, us_raw as name from parties union all select 'foreign_company', foreign_raw from parties
+        union all select 'carrier', carrier from parties union all select 'us_port', us_port from parties
+        union all select 'foreign_country', foreign_country from parties)
+    select s.step, name, count(*) as n from seen s left join known k on s.step = k.step and s.name = k.raw where k.raw is null group by all
+    union all select 'region', country, count(*) from parties join places on foreign_country = 'NATION_' || nation_key where nation_key = 4 group by all""")
+def warehouse_losses(t):
+    side = side_tables(t)
+    return warehouse.lost_names(warehouse.parse_parties(warehouse.classify_products(fact(t), side.hs_groups)), side)
