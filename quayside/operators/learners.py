@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -137,8 +138,12 @@ def random_search(train: DataFrame, valid: DataFrame, target: str, space: dict[s
     spark = train.sparkSession
     schema = "loss double, params string, iteration int, train_time double"
     done: set[int] = set()
-    if log and _exists(spark, log):
-        done = {r.iteration for r in spark.read.schema(schema).parquet(log).select("iteration").collect()}
+    if log:
+        try:
+            done = {r.iteration for r in spark.read.schema(schema).parquet(log).select("iteration").collect()}
+        except AnalysisException as missing:  # no trial has been logged yet
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
 
     def one(trial: int):
         params = draw_params(space, seed, trial)
@@ -160,8 +165,3 @@ def random_search(train: DataFrame, valid: DataFrame, target: str, space: dict[s
     for row in rows[1:]:
         out = out.unionByName(row)
     return out
-
-
-def _exists(spark, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

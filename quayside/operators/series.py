@@ -65,7 +65,7 @@ def _sorted_values(pdf: pd.DataFrame, month: str, value: str) -> np.ndarray:
 
 def _per_series(df: DataFrame, keys: list[str], fn, out: str) -> DataFrame:
     """Applies ``fn(group) -> dict`` to every series; ``out`` are the result columns."""
-    schema = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(out).fields)
+    schema = T.StructType([df.schema[k] for k in keys] + T.StructType.fromDDL(out).fields)
 
     def run(key, pdf):
         return pd.DataFrame([{**dict(zip(keys, key)), **fn(pdf)}], columns=schema.names)
@@ -227,7 +227,7 @@ def simulate_paths(params: DataFrame, keys: list[str], paths: int, start: str =
              .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
              .select(*keys, *numbers, "_block", F.xxhash64(*keys, "_block", F.lit(seed)).alias("_seed"))
              .repartition(*keys, "_block"))
-    schema = T.StructType([params.schema[k] for k in keys] + T._parse_datatype_string(
+    schema = T.StructType([params.schema[k] for k in keys] + T.StructType.fromDDL(
         "path_id int, step int, change double, sigma double, level double").fields)
 
     names = schema.names
