@@ -124,30 +124,35 @@ def _exact(c: str) -> str:
 
 
 @query("economic_enrichment", f"""
-    with s as (select *, strftime(ship_date, '%Y-%m') as ym from {shipments_sql("part", "customer")}),
+    with s as (select *, strftime(ship_date, '%Y-%m') as ym, case when foreign_nation < 5 then -1 else foreign_nation end as taxed
+            from {shipments_sql("part", "customer")}),
         rates as (select strftime(o_orderdate, '%Y-%m') as ym, max(o_totalprice) as us_unemployment_rate from orders group by 1),
-        tariffs as (select foreign_nation, hs_class, year, max(value_usd) as average_tariff,
+        tariffs as (select taxed, hs_class, year, max(value_usd) as average_tariff,
             case when max(status) = 'F' then 'true' else 'false' end as free_trade_agreement_with_us,
-            case when foreign_nation < 10 then 'true' else 'false' end as european_union
+            case when taxed < 10 then 'true' else 'false' end as european_union
             from s where discount >= 0.05 group by all),
-        prices as (select foreign_nation, ym, max(segment) as currency, max(tax) as price from s where status = 'F' group by all)
+        prices as (select foreign_nation, ym, max(segment) as currency, last_value(case when max(discount) >= 0.1 then max(tax) end ignore nulls) over (
+            partition by foreign_nation order by ym rows unbounded preceding) as price from s where status = 'F' group by foreign_nation, ym)
     select s.year, free_trade_agreement_with_us, european_union, currency, count(*) as n,
         {_exact("us_unemployment_rate")}, {_exact("average_tariff")}, {_exact("price")}
-    from s join rates using (ym) left join tariffs using (foreign_nation, hs_class, year)
+    from s join rates using (ym) left join tariffs using (taxed, hs_class, year)
     left join prices using (foreign_nation, ym) group by all""")
 def economic_enrichment(t):
     s = time_features(t.shipments("part", "customer"), "ship_date")
     year_month = F.date_format("year_month", "yyyy-MM")
     unemployment = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("year_month")) \
         .agg(F.max("o_totalprice").alias("unemployment_rate"))
+    # five nations have their tariff as members of one group
+    taxed = F.when(F.col("foreign_nation") < 5, -1).otherwise(F.col("foreign_nation"))
+    members = t.nation.filter("n_nationkey < 5").select(F.lit(-1).alias("country"), F.col("n_nationkey").cast("int").alias("member"))
     tariffs = s.filter("discount >= 0.05").groupBy(
-        F.col("foreign_nation").alias("country"), F.col("hs_class").alias("hs_family"), F.col("year").alias("tariff_year")).agg(
+        taxed.alias("country"), F.col("hs_class").alias("hs_family"), F.col("year").alias("tariff_year")).agg(
         F.format_number(F.max("value_usd"), 2).alias("average_tariff"),
         F.when(F.max("status") == "F", "Yes").otherwise("No").alias("free_trade_agreement_with_us")) \
         .withColumn("european_union", F.when(F.col("country") < 10, "Yes").otherwise("No"))
     currencies = s.filter("status = 'F'").groupBy(F.col("foreign_nation").alias("country"), year_month.alias("month_year")) \
-        .agg(F.max("segment").alias("currency"), F.max("tax").alias("price"))
-    out = warehouse.enrich_economic(s, unemployment, tariffs, currencies, "foreign_nation")
+        .agg(F.max("segment").alias("currency"), F.when(F.max("discount") >= 0.1, F.max("tax")).alias("price"))
+    out = warehouse.enrich_economic(s, unemployment, tariffs, currencies, "foreign_nation", members)
     return out.groupBy("year", "free_trade_agreement_with_us", "european_union", "currency").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c)
                                         for c in ("us_unemployment_rate", "average_tariff", "price")))

@@ -17,11 +17,11 @@ from quayside.functions.text import after_last, before_last, container_flags, pr
 from quayside.functions.timekeys import days_between, parse_date, time_features, year_week
 from quayside.operators.aggregates import totals_over, weekly_sum
 from quayside.operators.columns import conform, dedupe, filter_in, require, with_constants
-from quayside.operators.joins import (enrich, keep_qualifying, keyed, measured, outer_period_join, preserve_dim,
+from quayside.operators.joins import (enrich, expand_group, keep_qualifying, keyed, measured, outer_period_join, preserve_dim,
                                        semi_qualifying, standardise, unmatched)
 from quayside.operators.outliers import outlier_chain
 from quayside.operators.sets import union_conformed
-from quayside.operators.windows import pct_from_baseline
+from quayside.operators.windows import carry_forward, pct_from_baseline
 from quayside.session import settle
 from quayside.sources import schemas
 from quayside.sources.files import read_dim, read_shipments
@@ -105,10 +105,21 @@ def size_entities(fact: DataFrame, entities: dict[str, str], measure: str = "met
     return fact
 
 
+def member_tariffs(tariffs: DataFrame, members: DataFrame) -> DataFrame:
+    """Tariff rows of a group of countries as rows of its members; ``members`` has ``country``,
+    the group, and ``member``. A country's own row stands before that of a group."""
+    key = ["country", "hs_family", "tariff_year"]
+    rows = expand_group(tariffs, members, "country", "member").withColumnRenamed("member", "country")
+    values = [c for c in tariffs.columns if c not in key]
+    own_first = F.struct("is_member", *values)
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*values), own_first).alias("_v")).select(*key, "_v.*")
+
+
 def enrich_economic(fact: DataFrame, unemployment: DataFrame, tariffs: DataFrame, currencies: DataFrame,
-                    country: str = "foreign_country_clustered") -> DataFrame:
+                    country: str = "foreign_country_clustered", members: DataFrame | None = None) -> DataFrame:
     """Unemployment by month (months without a rate go), tariff by country, class and year,
-    and exchange price by month and country."""
+    and exchange price by month and country. With ``members`` tariffs of groups hold for
+    their members; a month of the price table without a price has the last known one."""
     month = lambda c: parse_date(c, "yyyy-MM")
     rates = keyed(unemployment.select(month("year_month").alias("_month"),
                                       F.col("unemployment_rate").alias("us_unemployment_rate")), "_month")
@@ -118,6 +129,9 @@ def enrich_economic(fact: DataFrame, unemployment: DataFrame, tariffs: DataFrame
         yes_no_to_bool("european_union").cast("string").alias("european_union")), "country", "hs_family", "tariff_year")
     prices = keyed(currencies.select(month("month_year").alias("_month"), "country", "currency", "price"),
                    "_month", "country")
+    prices = carry_forward(prices, ["country"], "_month", ["currency", "price"])
+    if members is not None:
+        taxes = member_tariffs(taxes, members)
     out = enrich(fact, measured(rates), {"year_month": "_month"}, "inner")
     out = enrich(out, measured(taxes), {country: "country", "hs_class": "hs_family", "year": "tariff_year"})
     return enrich(out, measured(prices), {"year_month": "_month", country: "country"})
@@ -208,6 +222,7 @@ class SideTables:
     states: DataFrame
     closures: DataFrame
     cases: DataFrame
+    members: DataFrame | None = None
 
 
 # Schema, key and null text of the file behind each side table.
@@ -336,7 +351,7 @@ def build_warehouse(imports: DataFrame, exports: DataFrame, side: SideTables,
                                 ("z", "teus", fixed.OUTLIER_Z), ("z", "tcvusd", fixed.OUTLIER_Z)])
     fact = settle(fact, "cleaned")
     fact = time_features(fact.withColumn("ship_date", parse_date("date", "yyyyMMdd")).drop("date"), "ship_date")
-    fact = enrich_economic(fact, side.unemployment, side.tariffs, side.currencies) \
+    fact = enrich_economic(fact, side.unemployment, side.tariffs, side.currencies, members=side.members) \
         .drop("hs_class", "year_month", "foreign_country_clustered")
     states = keyed(side.states.select("state", "state_code", "state_region"), "state_code")
     fact = enrich(fact, states, {"us_port_state": "state_code"})
