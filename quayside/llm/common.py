@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,3 +39,16 @@ def rows_of(batches: Iterable[pa.RecordBatch], most: int = 512) -> Iterator[pa.R
     for batch in batches:
         for start in range(0, batch.num_rows, most):
             yield batch.slice(start, most)
+
+
+def text_function(fn: Callable[[list[bytes]], list], returns: str, kind: pa.DataType, most: int = 256) -> Callable[[Column], Column]:
+    """A column function of whole texts from ``fn``, which gets the UTF-8 of few texts at a time.
+
+    Texts stay in their Arrow buffer but for ``most`` of them, so a worker's memory does
+    not grow with the rows of a batch.
+    """
+    @F.arrow_udf(returns)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(fn(texts.slice(at, most).to_pylist()), kind) for at in range(0, len(texts), most)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+    return lambda text: run(text.cast("binary"))

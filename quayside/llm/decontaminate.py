@@ -9,9 +9,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from quayside.llm.common import body, rows_of
+from quayside.llm.common import body, rows_of, text_function
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 # Items that one pass over the documents compares with; further items take further passes.
@@ -209,14 +209,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIU
                       per_pass: int = ITEMS_PER_PASS, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item (see :func:`contaminations`), all columns kept, nothing shuffled."""
     for index in _passes(benchmark, per_pass, radius, least):
-        docs = docs.filter(_clean_of(index)(body(text_col).cast("binary")))
+        docs = docs.filter(_clean_of(index)(body(text_col)))
     return docs
 
 
 def _clean_of(index: Index):
     """A function that tells which texts hold no item of the index."""
-    @F.pandas_udf(T.BooleanType())
-    def clean(texts):
-        import pandas as pd
-        return pd.Series([not index.search(t) for t in texts], dtype=bool)
-    return clean
+    return text_function(lambda texts: [not index.search(t) for t in texts], "boolean", pa.bool_())

@@ -7,11 +7,10 @@ from itertools import combinations
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from quayside.llm.common import body, held_out, rows_of
+from quayside.llm.common import body, held_out, rows_of, text_function
 from quayside.llm.labelled import MOST_LABELLED, labelled_sample
 
 FEATURES = ("log_words", "word_bytes", "distinct_words", "repeated_next", "upper", "digits", "points", "bangs", "bars", "symbols",
@@ -154,8 +153,6 @@ def score_documents(docs: DataFrame, model: AdditiveModel, threshold: float = 0.
     without labelled rows or of one label gives the prior; an empty table gives an empty
     result; other columns are not read.
     """
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_matrix(texts)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(body(text_col).cast("binary")).alias("score"))
+    score = text_function(lambda texts: model.score(_matrix(texts)), "double", pa.float64())
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(body(text_col)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -6,12 +6,11 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quayside.llm.common import body, private
+from quayside.llm.common import body, private, text_function
 from quayside.llm.components import components
 from quayside.session import settle
 
@@ -42,10 +41,7 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 
 def fingerprints(text: Column, shingle: int) -> Column:
     """SimHash as a signed long. Words are what stands between ASCII blanks, A-Z in lower case."""
-    @F.pandas_udf(T.LongType())
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t.lower().split(), shingle) for t in texts], dtype="int64")
-    return prints(text.cast("binary"))
+    return text_function(lambda texts: [fingerprint(t.lower().split(), shingle) for t in texts], "long", pa.int64())(text)
 
 
 def covering_masks(radius: int) -> list[int]:

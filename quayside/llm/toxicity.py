@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from quayside.llm.common import body, held_out, rows_of
+from quayside.llm.common import body, held_out, rows_of, text_function
 from quayside.llm.decontaminate import words
 from quayside.llm.labelled import MOST_LABELLED, labelled_sample
 
@@ -19,7 +18,7 @@ BUCKETS, MOST_TERMS, PREFIXES = 1 << 20, 2048, (4, 5, 6, 7)
 # A term must be this far from independent of the label (chi-square) to enter the model.
 LEAST_CHI2 = 15.0
 # Words whose terms a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 def word_terms(word: bytes) -> list[int]:
@@ -148,13 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
 
 
 def scorer(model: FactorizationMachine):
-    """A function of a binary text column: the probability of label 1. The model, of at most ``MOST_TERMS`` terms, goes to every task."""
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory: dict = {}
-        for texts in batches:
-            yield pd.Series(model.score(texts, memory), dtype=float)
-    return score
+    """A function of a text column: the probability of label 1. The model, of at most ``MOST_TERMS`` terms, goes to every task."""
+    memory: dict = {}  # each task has its own
+    return text_function(lambda texts: model.score(texts, memory), "double", pa.float64())
 
 
 def score_documents(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,10 +161,10 @@ def score_documents(docs: DataFrame, model: FactorizationMachine, threshold: flo
     result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
-                       scorer(model)(body(text_col).cast("binary")).alias("score"))
+                       scorer(model)(body(text_col)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``, all columns kept, nothing shuffled."""
-    return docs.filter(scorer(model)(body(text_col).cast("binary")) < threshold)
+    return docs.filter(scorer(model)(body(text_col)) < threshold)
