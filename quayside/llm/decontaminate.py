@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +106,8 @@ class Index:
             if not len(at):
                 continue
             codes = self._code(np.stack([coded[at + i] for i in range(size)], axis=1))
-            hit = np.isin(codes, self.anchors[size])
+            anchors = self.anchors[size]
+            hit = anchors[np.minimum(np.searchsorted(anchors, codes), len(anchors) - 1)] == codes
             for p, code in zip(at[hit].tolist(), codes[hit].tolist(), strict=True):
                 for n in self.places[size, code]:
                     low, high = max(0, p + size - n), min(p, max(0, len(coded) - n))
@@ -122,7 +124,7 @@ class Index:
     def search(self, text: bytes) -> dict[int, tuple[float, int, int, int]]:
         """For each item found: the best similarity, the Hamming distance, the window's start and length."""
         found = words(text)
-        coded = np.fromiter((self.vocabulary.get(w, 0) for w in found), np.int64, len(found))
+        coded = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
         best: dict[int, tuple[float, int, int, int]] = {}
         for n, starts in self.windows(coded.astype(np.uint64)).items():
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):  # windows far apart are looked up apart
