@@ -34,8 +34,12 @@ P_SCOPE = frozenset("td th caption button object li dd dt body html table blockq
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_GONE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_SHEET_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_SHEET_MARK = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|url\([^)]*\)|[{};]", re.I | re.S)
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_SELECTOR_END = re.compile(r",(?![^(\[]*[)\]])")
+_IMPORTANT = re.compile(r"\s*!\s*important\Z")
+_NOT_SHOWN = {"display": ("none",), "visibility": ("hidden", "collapse")}
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 # Deeper elements are placed at this depth; table columns are padded to this width at most. No text is lost by either.
@@ -136,7 +140,8 @@ def build(source: str) -> tuple[Element, list[str]]:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             raw, at = source[at:close.start() if close else len(source)], close.end() if close else len(source)
             if tag == "style":
-                tree.styles.append(raw)
+                if _on_screen(tree.open[-1].attributes.get("media", "")):
+                    tree.styles.append(raw)
             elif tag == "textarea":
                 tree.open[-1].children.append(html.unescape(raw))
             tree.end(tag)
@@ -144,28 +149,115 @@ def build(source: str) -> tuple[Element, list[str]]:
     return tree.root, tree.styles
 
 
-def hiding_rules(styles: list[str]) -> frozenset[str]:
-    """Selectors of one tag, ``.class``, ``#id`` or ``tag.class`` whose rule hides."""
-    found = set()
+def _blocks(sheet: str) -> Iterator[tuple[str, str]]:
+    """What stands before each outermost pair of braces, and what stands within it."""
+    depth = start = 0
+    before = ""
+    for m in _SHEET_MARK.finditer(sheet):
+        if m[0] == "{":
+            if not depth:
+                before, start = sheet[start:m.start()].strip(), m.end()
+            depth += 1
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if not depth:
+                yield before, sheet[start:m.start()]
+                start = m.end()
+        elif m[0] == ";" and not depth and sheet[start:m.start()].lstrip().startswith("@"):
+            start = m.end()
+    if depth:
+        yield before, sheet[start:]
+
+
+def _declared(body: str) -> dict[str, tuple[bool, str]]:
+    """The values of ``display`` and ``visibility`` that a rule's body gives, and whether they are important; nested rules do not count."""
+    depth, start, parts = 0, 0, []
+    for m in _SHEET_MARK.finditer(body):
+        if m[0] == "{":
+            depth += 1
+        elif m[0] == "}" and depth:
+            depth -= 1
+            start = m.end()
+        elif m[0] == ";" and not depth:
+            parts.append(body[start:m.start()])
+            start = m.end()
+    if not depth:
+        parts.append(body[start:])
+    found: dict[str, tuple[bool, str]] = {}
+    for part in parts:
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if name in _NOT_SHOWN:
+            important = _IMPORTANT.search(value) is not None
+            value = _IMPORTANT.sub("", value)
+            if re.fullmatch(r"[a-z-]+(?: [a-z-]+)*", value) and (important or not found.get(name, (False,))[0]):
+                found[name] = (important, value)
+    return found
+
+
+def _on_screen(media: str) -> bool:
+    """Whether a media list holds for every screen."""
+    return not media.strip() or any(m.lower().split() in (["all"], ["screen"], ["only", "screen"]) for m in media.split(","))
+
+
+# Rules by what the element must have: tag, classes and id, weight of the selector, declarations.
+Rules = dict[str, list[tuple[str, frozenset[str], tuple, dict[str, tuple[bool, str]]]]]
+
+
+def sheet_rules(styles: list[str]) -> Rules:
+    """Rules on ``display`` and ``visibility`` whose selector is a tag, classes and an id, by the last of these.
+
+    Only what holds on every screen counts: the bodies of ``@media`` are read for ``all``
+    and ``screen``, not for print or for screens of some width.
+    """
+    rules: Rules = {}
+    order = 0
+
+    def read(sheet: str, depth: int):
+        nonlocal order
+        for before, body in _blocks(sheet):
+            if before.startswith("@"):
+                kind, condition = re.match(r"@([\w-]*)(.*)", before.lower(), re.S).groups()
+                if depth < DEEPEST and (kind == "layer" or (kind == "media" and _on_screen(condition))
+                                        or (kind == "supports" and "not" not in condition.split())):
+                    read(body, depth + 1)
+                continue
+            declared = _declared(body)
+            for selector in _SELECTOR_END.split(before) if declared else ():
+                m = _SELECTOR.fullmatch(selector.strip())
+                if m and m[0]:
+                    order += 1
+                    tag, names = (m[1] or "*").lower(), re.findall(r"[.#][\w-]+", m[2])
+                    ids = sum(n[0] == "#" for n in names)
+                    weight = (ids, len(names) - ids, int(tag != "*"), order)
+                    rules.setdefault(names[-1] if names else tag, []).append((tag, frozenset(names), weight, declared))
     for sheet in styles:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _GONE.search(body):
-                found.update(s.strip() for s in selectors.split(",") if re.fullmatch(r"\s*[\w-]*(?:[.#][\w-]+)?\s*", s) and s.strip())
-    return frozenset(found)
+        read(_SHEET_COMMENT.sub("", sheet), 0)
+    return rules
 
 
-def shown(element: Element, hiding: frozenset[str]) -> bool:
+def shown(element: Element, rules: Rules) -> bool:
+    """Whether an element shows, where all around it does: of the declarations that meet it the strongest decides."""
     a = element.attributes
-    if element.tag in UNSEEN or "hidden" in a or (element.tag == "dialog" and "open" not in a):
-        return False
-    if "style" in a and _GONE.search(a["style"]):
+    if element.tag in UNSEEN or (element.tag == "dialog" and "open" not in a):
         return False
-    if hiding:
-        names = {element.tag, f"#{a.get('id', '')}", f"{element.tag}#{a.get('id', '')}"}
-        for c in a.get("class", "").split():
-            names |= {f".{c}", f"{element.tag}.{c}"}
-        return not names & hiding
-    return True
+    if not rules and "style" not in a and "hidden" not in a:
+        return True
+    # Values by strength: important, in the style attribute, weight of the selector. The hidden attribute is the weakest.
+    given: dict[str, list] = {"display": [((False, False, ()), "none")] if "hidden" in a else [], "visibility": []}
+    if rules:
+        names = {f".{c}" for c in a.get("class", "").split()}
+        if "id" in a:
+            names.add(f"#{a['id']}")
+        for key in (*names, element.tag, "*"):
+            for tag, needed, weight, declared in rules.get(key, ()):
+                if tag in ("*", element.tag) and needed <= names:
+                    for name, (important, value) in declared.items():
+                        given[name].append(((important, False, weight), value))
+    if "style" in a:
+        for name, (important, value) in _declared(a["style"]).items():
+            given[name].append(((important, True, ()), value))
+    return all(not values or max(values)[1] not in _NOT_SHOWN[name] for name, values in given.items())
 
 
 def _width(text: str) -> int:
@@ -223,8 +315,8 @@ class _Flow:
 
 
 class _Painter:
-    def __init__(self, hiding: frozenset[str]):
-        self.hiding = hiding
+    def __init__(self, rules: Rules):
+        self.rules = rules
         self.items = 0  # open list items: a list within one keeps no blank lines around it
 
     def block(self, element: Element, keep_blanks: bool = False) -> list[str]:
@@ -238,7 +330,7 @@ class _Painter:
         for child in element.children:
             if isinstance(child, str):
                 flow.inline(child, keep_blanks)
-            elif shown(child, self.hiding):
+            elif shown(child, self.rules):
                 if child.tag == "li":
                     self.item(child, flow, f"{number}. " if element.tag == "ol" else "- ", keep_blanks)
                     number += 1
@@ -286,9 +378,9 @@ class _Painter:
                 if isinstance(child, str):
                     if child.strip():
                         around.append(_BLANKS.sub(" ", child).strip())
-                elif shown(child, self.hiding):
+                elif shown(child, self.rules):
                     if child.tag == "tr":
-                        rows.append([(self.block(c), self.span(c)) for c in child.children if isinstance(c, Element) and c.tag in ("td", "th") and shown(c, self.hiding)])
+                        rows.append([(self.block(c), self.span(c)) for c in child.children if isinstance(c, Element) and c.tag in ("td", "th") and shown(c, self.rules)])
                         loose = Element("div", {}, [c for c in child.children if isinstance(c, str) or c.tag not in ("td", "th")])
                         around.extend(self.block(loose))
                     elif child.tag in ("thead", "tbody", "tfoot"):
@@ -328,8 +420,8 @@ class _Painter:
 def render(source: str) -> str:
     """The visible text of a page."""
     root, styles = build(source)
-    painter = _Painter(hiding_rules(styles))
-    lines = painter.block(root) if shown(root, painter.hiding) else []
+    painter = _Painter(sheet_rules(styles))
+    lines = painter.block(root) if shown(root, painter.rules) else []
     return "\n".join(line.rstrip() for line in lines).strip("\n")
 
 
@@ -344,8 +436,9 @@ def visible_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """``(page_id, text, n_lines)`` for every row: all text that the page shows, line by line.
 
     A tree is built with the end tags and elements that HTML implies. Elements that never
-    show, the ``hidden`` attribute, inline styles and simple style sheet rules that hide
-    take their content out; all other text stays. Paragraphs, headings, lists, quotes and
+    show, the ``hidden`` attribute, inline styles and style sheet rules that hide take
+    their content out; all other text stays. Rules count whose selector is a tag, classes
+    and an id and which hold on every screen; the strongest and then the last decides. Paragraphs, headings, lists, quotes and
     tables keep a blank line around them, other blocks start a line, list items get a
     bullet or number and are indented, preformatted text keeps its blanks, and table cells
     are padded to columns. Pages are rendered row by row without a shuffle. Null and empty

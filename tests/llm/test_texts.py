@@ -35,6 +35,17 @@ PAGES = {
     "<p>unclosed <b>tag": "unclosed tag",
     "<": "<", "<>": "<>", "</p>x": "x", "<!-- open": "",
     "<dl><dt>t<dd>d<dt>u<dd>e</dl>": "t\n  d\nu\n  e",
+    # what hides nothing
+    "<p style='-webkit-backface-visibility: hidden; backface-visibility:hidden'>a</p><style>.c{backface-visibility: hidden}</style><p class=c>b": "a\n\nb",
+    "<style>@media print { .nav { display:none } } .x{display:none}</style><p class=nav>nav</p><p class=x>no": "nav",
+    "<style>@media (max-width:600px) { .side { display:none } .b{color:red} }</style><p class=side>side": "side",
+    "<style media=print>p{display:none}</style><p>a": "a",
+    "<style>.x{display:none} .x{display:block}</style><p class=x>a": "a",
+    "<style>p.x{display:none} .x{display:block}</style><p class=x>no</p><p class=x style='display:block'>a": "a",
+    "<style>.x{display:none!important} .x{display:block}</style><p class=x>no</p>a": "a",
+    "<style>.m{display:none} .m.open{display:block}</style><p class=m>no</p><p class='m open'>a": "a",
+    # what hides
+    "<style>@import url(a;b.css); @media screen{.x{color:red;display : none}} @font-face{src:url(x)} .y{visibility:collapse</style><p class=x>n<p class=y>o<p>a": "a",
 }
 
 
