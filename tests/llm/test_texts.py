@@ -46,6 +46,12 @@ PAGES = {
     "<style>.m{display:none} .m.open{display:block}</style><p class=m>no</p><p class='m open'>a": "a",
     # what hides
     "<style>@import url(a;b.css); @media screen{.x{color:red;display : none}} @font-face{src:url(x)} .y{visibility:collapse</style><p class=x>n<p class=y>o<p>a": "a",
+    # stray quotes in tags
+    "<p title=don't>Visible one</p><p>it's here</p>": "Visible one\n\nit's here",
+    "<a href=\"a.html\"\">Link</a> says \"so\" > all": "Link says \"so\" > all",
+    "<p title=it's hidden>no</p><p ' class='a>b' \">a": "a",
+    "<p title = 'a > b' lang=\"x>y\"id=z>a</p>": "a",
+    "<p title=\"open>a</p><p>b": "a\n\nb",
 }
 
 
@@ -54,6 +60,10 @@ def test_layout(source):
     assert render.render(source) == PAGES[source]
 
 
+def test_unfinished_tags_take_no_time():
+    assert "x" in render.render("x<a " + "b=\"c\" d='e' " * 5000)
+
+
 class Plain(HTMLParser):
     """All text outside of elements that never show."""
 
