@@ -16,9 +16,9 @@ from quayside.llm.common import rows_of
 # Fixed values of the HTML standard: elements without content, of raw content, never shown, and of blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style template noscript iframe object embed audio video canvas datalist noembed noframes svg math title".split())
+UNSEEN = frozenset("head script style template noscript iframe object embed audio video canvas datalist noembed noframes title".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure fieldset hr".split())
 BLOCKS = SPACED | frozenset("html body address article aside center details dd dialog dir div dt figcaption footer form header hgroup legend li "
                             "main menu nav section summary caption option optgroup thead tbody tfoot tr td th".split())
 # An opening tag ends open elements of the second set, looking no further up than one of the third.
@@ -30,6 +30,18 @@ ENDS = {
 }
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 ENDS_P = BLOCKS - frozenset("html body option optgroup thead tbody tfoot tr td th caption legend summary figcaption".split())
+# SVG and MathML: what never shows where it stands, elements that hold HTML again, HTML that ends an SVG or MathML left open, and
+# elements whose parts stand apart.
+FOREIGN_UNSEEN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter style script".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+HOLDS_HTML = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+                       "ruby s small span strong strike sub sup table tt u ul var".split())
+APART = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtr mlabeledtr".split())
+# Types of input that show no value as text.
+WORDLESS = frozenset("hidden password checkbox radio range color file image".split())
 P_SCOPE = frozenset("td th caption button object li dd dt body html table blockquote div article section".split())
 
 # A quote opens a value only after the equals sign of an attribute; one that is not closed, or stands elsewhere, is a character like others.
@@ -53,6 +65,8 @@ class Element:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
+    space: str = ""  # svg or math, or HTML
+    inside: str = ""  # the same for its children
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -91,6 +105,17 @@ class _Builder:
                 self._push(Element("body", _attributes(source)))
             return False
         self._leave_head(tag)
+        if self.open[-1].inside and tag in BREAKS_OUT:
+            while self.open[-1].inside:
+                self.open.pop()
+        space = tag if tag in FOREIGN_UNSEEN else self.open[-1].inside
+        if space:
+            element = Element(tag, _attributes(source), [], space, "" if tag in HOLDS_HTML[space] else space)
+            if source.endswith("/"):
+                self.open[-1].children.append(element)
+                return False
+            self._push(element)
+            return True
         if tag in ENDS_P:
             self._end(frozenset(["p"]), P_SCOPE)
         if tag in ENDS:
@@ -134,6 +159,10 @@ def build(source: str) -> tuple[Element, list[str]]:
         tree.text(source[at:m.start()])
         at = m.end()
         if not m[2]:
+            if tree.open[-1].space and m[0].startswith("<![CDATA["):
+                close = source.find("]]>", m.start())
+                raw, at = source[m.start() + 9:close if close >= 0 else len(source)], close + 3 if close >= 0 else len(source)
+                tree.open[-1].children.append(raw)
             continue
         tag = m[2].lower()
         if m[1]:
@@ -146,6 +175,8 @@ def build(source: str) -> tuple[Element, list[str]]:
                     tree.styles.append(raw)
             elif tag == "textarea":
                 tree.open[-1].children.append(html.unescape(raw))
+            elif tag == "xmp":
+                tree.open[-1].children.append(raw)
             tree.end(tag)
     tree.text(source[at:])
     return tree.root, tree.styles
@@ -241,12 +272,16 @@ def sheet_rules(styles: list[str]) -> Rules:
 def shown(element: Element, rules: Rules) -> bool:
     """Whether an element shows, where all around it does: of the declarations that meet it the strongest decides."""
     a = element.attributes
-    if element.tag in UNSEEN or (element.tag == "dialog" and "open" not in a):
+    if element.tag in FOREIGN_UNSEEN.get(element.space, UNSEEN) or (element.tag == "dialog" and "open" not in a):
         return False
-    if not rules and "style" not in a and "hidden" not in a:
+    if not rules and "style" not in a and "hidden" not in a and element.space != "svg":
         return True
-    # Values by strength: important, in the style attribute, weight of the selector. The hidden attribute is the weakest.
-    given: dict[str, list] = {"display": [((False, False, ()), "none")] if "hidden" in a else [], "visibility": []}
+    # Values by strength: important, in the style attribute, weight of the selector. The hidden attribute is the weakest, with those of SVG.
+    given: dict[str, list] = {"display": [((False, False, ()), "none")] if "hidden" in a and element.space != "svg" else [], "visibility": []}
+    if element.space == "svg":
+        for name, values in given.items():
+            if name in a:
+                values.append(((False, False, ()), a[name].strip().lower()))
     if rules:
         names = {f".{c}" for c in a.get("class", "").split()}
         if "id" in a:
@@ -319,6 +354,7 @@ class _Flow:
 class _Painter:
     def __init__(self, rules: Rules):
         self.rules = rules
+        self.labels = False  # within a text of SVG
         self.items = 0  # open list items: a list within one keeps no blank lines around it
 
     def block(self, element: Element, keep_blanks: bool = False) -> list[str]:
@@ -348,7 +384,9 @@ class _Painter:
 
     def element(self, element: Element, flow: _Flow, keep_blanks: bool):
         tag = element.tag
-        if tag == "br":
+        if element.space:
+            self.foreign(element, flow, keep_blanks)
+        elif tag == "br":
             flow.line_break()
         elif tag == "table":
             flow.margin(1)
@@ -363,13 +401,53 @@ class _Painter:
             flow.margin(blank)
         elif tag in BLOCKS:
             flow.margin(1 if tag in SPACED else 0)
-            self.children(element, flow, keep_blanks or tag == "pre")
+            self.children(element, flow, keep_blanks or tag in ("pre", "xmp"))
             flow.margin(1 if tag in SPACED else 0)
         elif tag == "input":
-            if element.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search"):
+            if element.attributes.get("type", "").strip().lower() not in WORDLESS:
                 flow.inline(element.attributes.get("value", ""), False)
         else:
-            self.children(element, flow, keep_blanks or tag in ("textarea", "xmp"))
+            self.children(element, flow, keep_blanks or tag == "textarea")
+
+    def foreign(self, element: Element, flow: _Flow, keep_blanks: bool):
+        """SVG shows its ``text`` and embedded HTML, each on lines of its own; MathML shows its text, the parts of a fraction, script or row apart."""
+        tag = element.tag
+        if element.space == "svg":
+            if tag in ("text", "foreignobject"):
+                flow.margin(0)
+                outer, self.labels = self.labels, tag == "text"
+                self.children(element, flow, keep_blanks)
+                self.labels = outer
+                flow.margin(0)
+            elif self.labels:
+                if "x" in element.attributes:  # placed anew
+                    if {"y", "dy"} & element.attributes.keys():
+                        flow.margin(0)
+                    flow.space = True
+                self.children(element, flow, keep_blanks)
+            else:
+                for child in element.children:
+                    if not isinstance(child, str) and shown(child, self.rules):
+                        self.element(child, flow, keep_blanks)
+        elif tag in APART:
+            if tag in ("mtr", "mlabeledtr"):
+                flow.margin(0)
+            for child in element.children:
+                flow.space = True
+                if isinstance(child, str):
+                    flow.inline(child, keep_blanks)
+                elif shown(child, self.rules):
+                    self.element(child, flow, keep_blanks)
+            flow.space = True
+            if tag in ("mtr", "mlabeledtr"):
+                flow.margin(0)
+        else:
+            apart = tag == "math" and element.attributes.get("display", "").strip().lower() == "block"
+            if apart:
+                flow.margin(0)
+            self.children(element, flow, keep_blanks)
+            if apart:
+                flow.margin(0)
 
     def table(self, table: Element) -> list[str]:
         """Rows of cells, padded so that the cells of a column start at the same place; a caption first."""
@@ -382,7 +460,8 @@ class _Painter:
                         around.append(_BLANKS.sub(" ", child).strip())
                 elif shown(child, self.rules):
                     if child.tag == "tr":
-                        rows.append([(self.block(c), self.span(c)) for c in child.children if isinstance(c, Element) and c.tag in ("td", "th") and shown(c, self.rules)])
+                        cells = [c for c in child.children if isinstance(c, Element) and c.tag in ("td", "th") and shown(c, self.rules)]
+                        rows.append((element, [(self.block(c), self.span(c), self.span(c, "rowspan", 65534)) for c in cells]))
                         loose = Element("div", {}, [c for c in child.children if isinstance(c, str) or c.tag not in ("td", "th")])
                         around.extend(self.block(loose))
                     elif child.tag in ("thead", "tbody", "tfoot"):
@@ -393,30 +472,49 @@ class _Painter:
                         around.extend(self.block(child))
         gather(table)
         widths: list[int] = []
-        for row in rows:
-            at = 0
-            for lines, span in row:
+        placed: list[list[tuple[int, list[str], int]]] = []  # column, lines and columns of each cell
+        spread: list[tuple[int, int, int]] = []
+        group, hanging = None, []  # columns that cells of rows above hold, from, to and for how many rows more: within a row group
+        for section, row in rows:
+            if section is not group:
+                group, hanging = section, []
+            at, k, cells, held = 0, 0, [], []
+            for lines, span, down in row:
+                while k < len(hanging) and hanging[k][0] <= at:
+                    at = max(at, hanging[k][1])
+                    k += 1
                 widths += [0] * (at + 1 - len(widths))
                 if span == 1:
                     widths[at] = max([widths[at], *map(_width, lines)])
+                cells.append((at, lines, span))
+                if down != 1:
+                    held.append((at, at + span, down - 1 if down else len(rows)))
+                    if span > 1:
+                        spread.append((at, at + span, max(map(_width, lines), default=0)))
                 at += span
+            placed.append(cells)
+            if hanging or held:
+                hanging = sorted([(a, b, left - 1) for a, b, left in hanging if left > 1] + held)
         widths = [min(w, WIDEST) for w in widths]
         out = around + captions
-        for row in rows:
-            for i in range(max((len(lines) for lines, _ in row), default=0)):
-                line, at = "", 0
-                for lines, span in row:
+        room = lambda start, stop: sum(widths[start:stop]) + 2 * max(0, min(stop, len(widths)) - start)
+        for start, stop, width in spread:  # what stands after such a cell does so in all its rows
+            widths[min(stop, len(widths)) - 1] += max(0, min(width, WIDEST) + 2 - room(start, stop))
+        for cells in placed:
+            for i in range(max((len(lines) for _, lines, _ in cells), default=0)):
+                line, done = "", 0
+                for at, lines, span in cells:
                     cell = lines[i] if i < len(lines) else ""
-                    room = sum(widths[at:at + span]) + 2 * (min(span, max(1, len(widths) - at)) - 1)
-                    line += cell + " " * max(0, room - _width(cell)) + "  "
-                    at += span
+                    line += " " * room(done, at) + cell + " " * max(0, max(0, room(at, at + span) - 2) - _width(cell)) + "  "
+                    done = at + span
                 out.append(line.rstrip())
         return out
 
     @staticmethod
-    def span(cell: Element) -> int:
-        value = cell.attributes.get("colspan", "1").strip()
-        return min(1000, max(1, int(value))) if re.fullmatch(r"\d{1,9}", value) else 1
+    def span(cell: Element, name: str = "colspan", most: int = 1000) -> int:
+        """Columns or rows of a cell; no rows stand for all that follow in the row group."""
+        value = cell.attributes.get(name, "1").strip()
+        return min(most, max(int(name == "colspan"), int(value))) if re.fullmatch(r"[0-9]{1,9}", value) else 1
 
 
 def render(source: str) -> str:
@@ -439,11 +537,12 @@ def visible_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     A tree is built with the end tags and elements that HTML implies. Elements that never
     show, the ``hidden`` attribute, inline styles and style sheet rules that hide take
-    their content out; all other text stays. Rules count whose selector is a tag, classes
+    their content out; all other text stays, also the labels of SVG, MathML and the values
+    of inputs. SVG that shows only through ``use`` is not repeated where it is used. Rules count whose selector is a tag, classes
     and an id and which hold on every screen; the strongest and then the last decides. Paragraphs, headings, lists, quotes and
     tables keep a blank line around them, other blocks start a line, list items get a
     bullet or number and are indented, preformatted text keeps its blanks, and table cells
-    are padded to columns. Pages are rendered row by row without a shuffle. Null and empty
+    are padded to columns, below cells of several rows too. Pages are rendered row by row without a shuffle. Null and empty
     pages, and markup without text, give an empty text; text without tags stays as it is
     but for blanks; null ids and repeated rows keep their rows; an empty table gives an
     empty result; other columns are not read.

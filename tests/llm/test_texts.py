@@ -52,6 +52,16 @@ PAGES = {
     "<p title=it's hidden>no</p><p ' class='a>b' \">a": "a",
     "<p title = 'a > b' lang=\"x>y\"id=z>a</p>": "a",
     "<p title=\"open>a</p><p>b": "a\n\nb",
+    # drawings, formulas, raw text and inputs
+    "<svg><title/><defs><text>no</text></defs><path d='M0'/><g>\n<text x=1>Label <tspan>7</tspan></text></g><text><tspan x=0 y=1>one</tspan><tspan x=0 dy=9>two"
+    "</tspan></text><text display=none>no</text><text><![CDATA[<3]]></text></svg>end": "Label 7\none\ntwo\n<3\nend",
+    "<svg><foreignObject><p>html</p></foreignObject><path><p>after</p>": "html\n\nafter",
+    "f: <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></semantics></math>.": "f: x= 1 2 .",
+    "a<xmp><b>  raw &amp;</xmp>b": "a\n\n<b>  raw &amp;\n\nb",
+    "<input type=number value=7> <input type=email value=a@b.c> <input type=url value=u> <input type=Date value=2020-01-02> <input value=t>"
+    "<input type=hidden value=no><input type=password value=no><input type=checkbox value=no>": "7 a@b.c u 2020-01-02 t",
+    "<table><tr><td rowspan=2>name<td>b<tr><td>c<tr><td>d<td>e</table>": "name  b\n      c\nd     e",
+    "<table><tr><td>a<td rowspan=0 colspan=2>wide<td>z<tr><td>b<td>c<tbody><tr><td>d<td>e</table>": "a  wide  z\nb        c\nd  e",
 }
 
 
