@@ -136,6 +136,17 @@ def test_path_intervals(params):
     assert (got.low, got.high) == pytest.approx(tuple(np.quantile(levels, [0.025, 0.975])))
 
 
+def test_path_intervals_gather_no_group_in_python(params):
+    paths = series.simulate_paths(params, ["k"], 300, steps=3)
+    got = series.path_intervals(paths, ["k"])
+    assert "FlatMapGroupsIn" not in got._jdf.queryExecution().toString()
+    rows = {r.step: r for r in got.collect()}
+    assert got.columns == ["k", "step", "low", "high", "mean"] and sorted(rows) == [1, 2, 3]
+    for step, r in rows.items():
+        levels = [p.level for p in paths.filter(F.col("step") == step).collect()]
+        assert (r.low, r.high, r["mean"]) == pytest.approx((*np.quantile(levels, [0.025, 0.975]), np.mean(levels)))
+
+
 def test_student_quantile():
     # published table values
     assert series.student_quantile(0.95, 10) == pytest.approx(1.812461, abs=1e-4)
