@@ -51,3 +51,36 @@ select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_b
        coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
 from texts left join found using (doc_id)
 """
+
+OP12_SQL = r"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+lengths as (select doc_id, count(*) as n from terms group by doc_id),
+corpus as (select count(*) as n_docs, sum(n)::bigint as n_terms from lengths),
+postings as (select doc_id, term, count(*) as tf from terms group by all),
+weights as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+            from postings, corpus group by term),
+wanted as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))))::bigint as score
+  from wanted join postings using (term) join weights using (term) join lengths using (doc_id), corpus group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+OP13_SQL = r"""
+with texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (select doc_id, i.i  as pos, array_to_string(words[i.i:i.i + 19], ' ') as said
+            from texts, lateral (select unnest(range(1, greatest(len(words) - 18, 1))) as i) i),
+repeats as (select doc_id, pos from (select doc_id, pos, row_number() over (partition by said order by doc_id, pos) as k from windows) where k > 1),
+covered as (select distinct doc_id, pos + o as pos from repeats, unnest(range(0, 20)) as offsets(o)),
+kept as (select w.doc_id, w.pos, w.word, c.doc_id is not null as gone
+         from (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from texts) w
+         left join covered c on c.doc_id = w.doc_id and c.pos = w.pos)
+select t.doc_id, len(words) as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(rest, '')) as kept_sha256
+from texts t left join (select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as rest
+                        from kept group by doc_id) k on t.doc_id = k.doc_id
+"""

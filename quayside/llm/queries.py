@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quayside.llm import decontaminate, exact_dedup, licenses, line_dedup, mixing, quality, render, shards, simhash, toxicity
-from quayside.llm.oracles import OP1_SQL, OP4_SQL, OP6_SQL
+from quayside.llm import (alignment, decontaminate, exact_dedup, licenses, line_dedup, mixing, quality, render, search, shards, simhash,
+                          substrings, toxicity)
+from quayside.llm.oracles import OP1_SQL, OP4_SQL, OP6_SQL, OP12_SQL, OP13_SQL
 from quayside.plans.views import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,19 @@ def op9_toxicity(t: Tables) -> DataFrame:
 @_query("op10_source_mix")
 def op10_source_mix(t: Tables) -> DataFrame:
     return mixing.mix(t.documents).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@_query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(t: Tables) -> DataFrame:
+    return alignment.align(t.documents)
+
+
+@_query("op12_lexical_search", OP12_SQL)
+def op12_lexical_search(t: Tables) -> DataFrame:
+    return search.search(t.documents, t.benchmark)
+
+
+@_query("op13_substring_dedup", OP13_SQL)
+def op13_substring_dedup(t: Tables) -> DataFrame:
+    kept = substrings.drop_repeated_passages(t.documents)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
