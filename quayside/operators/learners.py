@@ -70,6 +70,14 @@ def fit_linear(train: DataFrame, target: str, l1_ratio: float = 1.0, alpha: floa
     return linear(target, l1_ratio, alpha).fit(train)
 
 
+def fit_least_squares(train: DataFrame, target: str) -> Model:
+    """Least squares without a penalty. Up to 4,096 features the normal equations are solved, which
+    is exact; beyond, the solution is approached by iteration."""
+    wide = train.select("features").first()
+    solver = "normal" if wide is not None and wide.features.size <= 4096 else "l-bfgs"
+    return LinearRegression(labelCol=target, regParam=0.0, solver=solver, maxIter=1000, tol=1e-10, standardization=True).fit(train)
+
+
 def fit_boosted(train: DataFrame, target: str, **params) -> Model:
     return boosted(target, **params).fit(train)
 

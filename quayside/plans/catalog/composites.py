@@ -9,6 +9,7 @@ from quayside.plans.catalog.aggregating import rounded
 from quayside.plans.catalog.joining import GROUPS_SQL, WEEK_SQL, _groups
 from quayside.plans.registry import query
 from quayside.plans.views import NATIONS_SQL, shipments_sql
+from quayside.session import settle
 
 HS_LIST = ", ".join(map(str, HS_CLASSES))
 SIDES = ("part", "supplier", "customer")
@@ -123,36 +124,42 @@ def _exact(c: str) -> str:
     return f"cast(sum(cast({c} as decimal(18, 2))) as double) as {c}"
 
 
+# groups of countries, as the tables of tariffs and prices name them
+MEMBER_SQL = "case when foreign_nation < 5 then -1 else foreign_nation end"
+
+
 @query("economic_enrichment", f"""
-    with s as (select *, strftime(ship_date, '%Y-%m') as ym, case when foreign_nation < 5 then -1 else foreign_nation end as taxed
-            from {shipments_sql("part", "customer")}),
+    with s as (select *, strftime(ship_date, '%Y-%m') as ym, {MEMBER_SQL} as place from {shipments_sql("part", "customer")}),
         rates as (select strftime(o_orderdate, '%Y-%m') as ym, max(o_totalprice) as us_unemployment_rate from orders group by 1),
-        tariffs as (select taxed, hs_class, year, max(value_usd) as average_tariff,
+        tariffs as (select place, hs_class, year as reported, max(value_usd) as average_tariff,
             case when max(status) = 'F' then 'true' else 'false' end as free_trade_agreement_with_us,
-            case when taxed < 10 then 'true' else 'false' end as european_union
-            from s where discount >= 0.05 group by all),
-        prices as (select foreign_nation, ym, max(segment) as currency, last_value(case when max(discount) >= 0.1 then max(tax) end ignore nulls) over (
-            partition by foreign_nation order by ym rows unbounded preceding) as price from s where status = 'F' group by foreign_nation, ym)
+            case when place < 10 then 'true' else 'false' end as european_union
+            from s where discount >= 0.1 and tax >= 0.05 group by all),
+        prices as (select place, ym, max(segment) as currency, case when max(discount) >= 0.1 then max(tax) end as price
+            from s where status = 'F' group by all)
     select s.year, free_trade_agreement_with_us, european_union, currency, count(*) as n,
         {_exact("us_unemployment_rate")}, {_exact("average_tariff")}, {_exact("price")}
-    from s join rates using (ym) left join tariffs using (taxed, hs_class, year)
-    left join prices using (foreign_nation, ym) group by all""")
+    from s join rates using (ym)
+    asof left join tariffs x on s.place = x.place and s.hs_class = x.hs_class and s.year >= x.reported
+    left join prices p on s.place = p.place and s.ym = p.ym group by all""")
 def economic_enrichment(t):
-    s = time_features(t.shipments("part", "customer"), "ship_date")
+    s = settle(time_features(t.shipments("part", "customer"), "ship_date").select(
+        "foreign_nation", "hs_class", "year", "year_month", "value_usd", "status", "discount", "tax", "segment"), "rows")
     year_month = F.date_format("year_month", "yyyy-MM")
     unemployment = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("year_month")) \
         .agg(F.max("o_totalprice").alias("unemployment_rate"))
-    # five nations have their tariff as members of one group
-    taxed = F.when(F.col("foreign_nation") < 5, -1).otherwise(F.col("foreign_nation"))
+    # five nations report as one group
+    place = F.when(F.col("foreign_nation") < 5, -1).otherwise(F.col("foreign_nation")).alias("country")
     members = t.nation.filter("n_nationkey < 5").select(F.lit(-1).alias("country"), F.col("n_nationkey").cast("int").alias("member"))
-    tariffs = s.filter("discount >= 0.05").groupBy(
-        taxed.alias("country"), F.col("hs_class").alias("hs_family"), F.col("year").alias("tariff_year")).agg(
+    tariffs = s.filter("discount >= 0.1 and tax >= 0.05").groupBy(
+        place, F.col("hs_class").alias("hs_family"), F.col("year").alias("tariff_year")).agg(
         F.format_number(F.max("value_usd"), 2).alias("average_tariff"),
         F.when(F.max("status") == "F", "Yes").otherwise("No").alias("free_trade_agreement_with_us")) \
         .withColumn("european_union", F.when(F.col("country") < 10, "Yes").otherwise("No"))
-    currencies = s.filter("status = 'F'").groupBy(F.col("foreign_nation").alias("country"), year_month.alias("month_year")) \
+    currencies = s.filter("status = 'F'").groupBy(place, year_month.alias("month_year")) \
         .agg(F.max("segment").alias("currency"), F.when(F.max("discount") >= 0.1, F.max("tax")).alias("price"))
-    out = warehouse.enrich_economic(s, unemployment, tariffs, currencies, "foreign_nation", members)
+    out = warehouse.enrich_economic(s.select("foreign_nation", "hs_class", "year", "year_month"), unemployment, tariffs, currencies,
+                                    "foreign_nation", members)
     return out.groupBy("year", "free_trade_agreement_with_us", "european_union", "currency").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c)
                                         for c in ("us_unemployment_rate", "average_tariff", "price")))
@@ -240,7 +247,7 @@ def side_tables(t) -> warehouse.SideTables:
     key = text("n_nationkey")
     s = t.shipments("part", "customer").join(n.select(F.col("n_nationkey").alias("foreign_nation"), "n_name"), "foreign_nation")
     fillers = lambda raw, clean, **names: t.spark.createDataFrame(list(names.items()), f"{raw} string, {clean} string")
-    tariffs = s.filter("discount >= 0.05").groupBy(F.col("n_name").alias("country"), F.col("hs_class").alias("hs_family"), F.col("year").alias("tariff_year")) \
+    tariffs = s.filter("discount >= 0.1 and tax >= 0.05").groupBy(F.col("n_name").alias("country"), F.col("hs_class").alias("hs_family"), F.col("year").alias("tariff_year")) \
         .agg(F.format_number(F.max("value_usd"), 2).alias("average_tariff"), F.when(F.max("status") == "F", "Yes").otherwise("No").alias("free_trade_agreement_with_us")) \
         .withColumn("european_union", F.when(F.col("country") < "NATION_2", "Yes").otherwise("No"))
     return warehouse.SideTables(
@@ -320,11 +327,11 @@ BUILT_SQL = f"""
     timed as (select *, cast(year(ship_date) as int) as year, strftime(ship_date, '%Y-%m') as ym, strftime(ship_date, '%Y-w%U') as year_week from dated),
     s as (select s.*, n_name, strftime(ship_date, '%Y-%m') as ym from {shipments_sql("part", "customer")} s join nation on foreign_nation = n_nationkey),
     rates as (select strftime(o_orderdate, '%Y-%m') as ym, max(o_totalprice) as us_unemployment_rate from orders group by 1),
-    tariffs as (select n_name as home, hs_class, year, max(value_usd) as average_tariff, case when max(status) = 'F' then 'true' else 'false' end as fta,
-        case when n_name < 'NATION_2' then 'true' else 'false' end as european_union from s where discount >= 0.05 group by all),
+    tariffs as (select n_name as home, hs_class, year as reported, max(value_usd) as average_tariff, case when max(status) = 'F' then 'true' else 'false' end as fta,
+        case when n_name < 'NATION_2' then 'true' else 'false' end as european_union from s where discount >= 0.1 and tax >= 0.05 group by all),
     prices as (select n_name as home, ym, max(segment) as currency, max(tax) as price from s where status = 'F' group by all),
     economic as (select t.*, us_unemployment_rate, average_tariff, fta, european_union, currency, price from timed t join rates using (ym)
-        left join tariffs using (home, hs_class, year) left join prices using (home, ym)),
+        asof left join tariffs x on t.home = x.home and t.hs_class = x.hs_class and t.year >= x.reported left join prices p on t.home = p.home and t.ym = p.ym),
     closures as (select n_name as state, 'N' || n_nationkey as code, n_regionkey, case when n_nationkey % 5 = 0 then null else 31 end as lead
         from nation where n_nationkey <> 7),
     placed as (select e.*, c.state, p.region as state_region, c.lead from economic e join closures c on port_code = c.code join places p on port_code = p.code),

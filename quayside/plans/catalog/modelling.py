@@ -1,9 +1,10 @@
 """Features, errors and comparisons with an exact answer."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.functions import unwrap_udt
 
 from quayside.fixed_values import SIZE_ORDER
-from quayside.operators import evaluation, features
+from quayside.operators import evaluation, features, learners, sparse
 from quayside.operators.aggregates import corr_matrix
 from quayside.operators.columns import year_slice
 from quayside.plans.catalog.aggregating import rounded
@@ -139,3 +140,33 @@ def importance_rank_compare(t):
               .filter("a = 'value_usd'").select(F.col("b").alias("feature"), F.round(F.abs("corr"), 8).alias("weight"))
               for d in ("Import", "Export")}
     return evaluation.compare_importances(tables)
+
+
+@query("sparse_level_means", f"""
+    with s as {shipments_sql()}, base as (select avg(value_usd) as b from s where cast(part_key as varchar) = (select min(cast(part_key as varchar)) from s))
+    select 'part_key' as "column", cast(part_key as varchar) as level, round(avg(value_usd) - any_value(b), 1) as coefficient from s, base group by part_key""")
+def sparse_level_means(t):
+    # least squares on the dummies of one category: differences of the levels' means
+    s = t.shipments().select("part_key", "value_usd")
+    levels = sparse.fit_level_table(s, ["part_key"])
+    fitted = learners.fit_least_squares(sparse.sparse_matrix(s, levels, [], ["part_key"]), "value_usd")
+    return rounded(sparse.coefficient_table(fitted.coefficients, levels, []), 1, "coefficient")
+
+
+@query("sparse_matrix_rows", f"""
+    with s as {shipments_sql("part", "supplier")}, level as (
+        select c, l, row_number() over (order by c, l) + 1 as place from (
+            select distinct 0 as c, us_company as l from s where us_company <> (select min(us_company) from s)
+            union all select distinct 1, hs_group from s where hs_group <> (select min(hs_group) from s)))
+    select {KEY}, round(list_sum(v), 6) as total, list_sum(p)::bigint as places, len(p)::int as n_set from (
+        select s.*, [metric_tons, teus] || [1.0::double for x in [a.place, b.place] if x is not null] as v,
+            [0, 1] || [x for x in [a.place, b.place] if x is not null] as p
+        from s left join level a on a.c = 0 and a.l = us_company left join level b on b.c = 1 and b.l = hs_group)""")
+def sparse_matrix_rows(t):
+    s = t.shipments("part", "supplier").select(*SHIPMENT_KEY, "metric_tons", "teus", "us_company", "hs_group")
+    levels = sparse.fit_level_table(s, ["us_company", "hs_group"])
+    rows = sparse.sparse_matrix(s, levels, ["metric_tons", "teus"], ["us_company", "hs_group"])
+    unwrapped = rows.withColumn("v", unwrap_udt("features"))
+    add = lambda c, kind: F.aggregate(c, F.lit(0).cast(kind), lambda a, x: a + x)
+    return unwrapped.select(*SHIPMENT_KEY, F.round(add("v.values", "double"), 6).alias("total"),
+                            add(F.transform("v.indices", lambda i: i.cast("long")), "long").alias("places"), F.size("v.indices").alias("n_set"))

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quayside.operators import names
+from quayside.operators import name_groups, names
 from quayside.plans.registry import query
 
 # goods names in several spellings, derived from the parts
@@ -72,3 +72,26 @@ def cluster_similar(t):
     qualify row_number() over (partition by cluster order by n desc, name) = 1""")
 def cluster_canonical(t):
     return names.canonical_name(names.cluster_fingerprint(_spellings(t), "goods"))
+
+
+# names of companies and places, many of them a letter apart
+GROUPS_OF_NAMES_SQL = """
+    with recursive counted as (select name, count(*) as n from (
+            select s_name as name from supplier union all select n_name from nation union all select r_name from region union all select n_name from nation) group by 1),
+        linked as (select a.name as a, b.name as b from counted a join counted b on a.name <> b.name and levenshtein(a.name, b.name) <= 1),
+        reach(name, other) as (select name, name from counted union select r.name, l.b from reach r join linked l on l.a = r.other),
+        rooted as (select name, min(other) as cluster from reach group by 1),
+        sized as (select cluster, count(*) as cluster_size, arg_min(c.name, (-n, c.name)) as centre from rooted join counted c using (name) group by 1),
+        judged as (select c.name, n, cluster, cluster_size, centre, levenshtein(c.name, centre) as away from counted c join rooted using (name) join sized using (cluster))"""
+
+
+def _typed(t):
+    places = t.nation.select(F.col("n_name").alias("name"))
+    return t.supplier.select(F.col("s_name").alias("name")).unionAll(places).unionAll(t.region.select("r_name")).unionAll(places)
+
+
+@query("name_groups", f"""{GROUPS_OF_NAMES_SQL}
+    select name, n, cluster, cluster_size, case when away <= 1 then centre else name end as canonical,
+        case when away <= 1 then away::int end as distance, away > 1 as conflict from judged""")
+def grouped_names(t):
+    return name_groups.group_similar(_typed(t), "name", 1, 1)

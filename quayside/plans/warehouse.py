@@ -16,6 +16,7 @@ from quayside.functions.numbers import bin_by_thresholds, code_is_mixed, recode,
 from quayside.functions.text import after_last, before_last, container_flags, prefix, strip_suffix, tail_code
 from quayside.functions.timekeys import days_between, parse_date, time_features, year_week
 from quayside.operators.aggregates import totals_over, weekly_sum
+from quayside.operators.asof import asof_join
 from quayside.operators.columns import conform, dedupe, filter_in, require, with_constants
 from quayside.operators.joins import (enrich, expand_group, keep_qualifying, keyed, measured, outer_period_join, preserve_dim,
                                        semi_qualifying, standardise, unmatched)
@@ -105,35 +106,43 @@ def size_entities(fact: DataFrame, entities: dict[str, str], measure: str = "met
     return fact
 
 
-def member_tariffs(tariffs: DataFrame, members: DataFrame) -> DataFrame:
-    """Tariff rows of a group of countries as rows of its members; ``members`` has ``country``,
-    the group, and ``member``. A country's own row stands before that of a group."""
-    key = ["country", "hs_family", "tariff_year"]
-    rows = expand_group(tariffs, members, "country", "member").withColumnRenamed("member", "country")
-    values = [c for c in tariffs.columns if c not in key]
+def member_rows(rows: DataFrame, members: DataFrame, *key: str) -> DataFrame:
+    """Rows of a group of countries as rows of its members; ``members`` has ``country``, the
+    group, and ``member``; ``key`` names a row beside its country. A country's own row stands
+    before that of a group."""
+    key = ["country", *key]
+    spread = expand_group(rows, members, "country", "member").withColumnRenamed("member", "country")
+    values = [c for c in rows.columns if c not in key]
     own_first = F.struct("is_member", *values)
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*values), own_first).alias("_v")).select(*key, "_v.*")
+    return spread.groupBy(*key).agg(F.min_by(F.struct(*values), own_first).alias("_v")).select(*key, "_v.*")
 
 
 def enrich_economic(fact: DataFrame, unemployment: DataFrame, tariffs: DataFrame, currencies: DataFrame,
-                    country: str = "foreign_country_clustered", members: DataFrame | None = None) -> DataFrame:
+                    country: str = "foreign_country_clustered", members: DataFrame | None = None, carry_prices: bool = False) -> DataFrame:
     """Unemployment by month (months without a rate go), tariff by country, class and year,
-    and exchange price by month and country. With ``members`` tariffs of groups hold for
-    their members; a month of the price table without a price has the last known one."""
+    and exchange price by month and country.
+
+    A country that did not report a tariff in a year keeps that of the last year it did; years
+    before its first report have none. With ``members``, tariffs and prices of groups hold for
+    their members. Prices are those of the month; with ``carry_prices`` a month of the price
+    table without one has the last known."""
     month = lambda c: parse_date(c, "yyyy-MM")
     rates = keyed(unemployment.select(month("year_month").alias("_month"),
                                       F.col("unemployment_rate").alias("us_unemployment_rate")), "_month")
     taxes = keyed(tariffs.select(
         "country", "hs_family", "tariff_year", to_number("average_tariff").alias("average_tariff"),
         yes_no_to_bool("free_trade_agreement_with_us").cast("string").alias("free_trade_agreement_with_us"),
-        yes_no_to_bool("european_union").cast("string").alias("european_union")), "country", "hs_family", "tariff_year")
+        yes_no_to_bool("european_union").cast("string").alias("european_union")),
+        "country", "hs_family", "tariff_year", "average_tariff")
     prices = keyed(currencies.select(month("month_year").alias("_month"), "country", "currency", "price"),
                    "_month", "country")
-    prices = carry_forward(prices, ["country"], "_month", ["currency", "price"])
     if members is not None:
-        taxes = member_tariffs(taxes, members)
+        taxes = member_rows(taxes, members, "hs_family", "tariff_year")
+        prices = member_rows(prices, members, "_month")
+    if carry_prices:
+        prices = carry_forward(prices, ["country"], "_month", ["currency", "price"])
     out = enrich(fact, measured(rates), {"year_month": "_month"}, "inner")
-    out = enrich(out, measured(taxes), {country: "country", "hs_class": "hs_family", "year": "tariff_year"})
+    out = asof_join(out, taxes, {country: "country", "hs_class": "hs_family"}, "year", "tariff_year").drop("tariff_year")
     return enrich(out, measured(prices), {"year_month": "_month", country: "country"})
 
 

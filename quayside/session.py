@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,13 +54,28 @@ def new_shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs in this block delete their shuffle files when they end, instead of when the driver
+    collects garbage. For jobs that write a table and whose plans are not run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def settle(df: DataFrame, label: str, remove_shuffles: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage in a way that survives executor loss, and fixes values such as
-    partition ids that could differ if the plan ran twice.
+    partition ids that could differ if the plan ran twice. With ``remove_shuffles`` the
+    shuffle files of the write go as soon as it is done.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, label)
-    df.write.parquet(path)
+    with shuffles_removed(spark) if remove_shuffles else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
