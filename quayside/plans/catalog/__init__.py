@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FAMILIES = ["scans", "projections", "scalars", "joining", "aggregating", "sequences", "sampling", "naming", "composites",
-            "timeseries", "modelling", "searching", "nearest", "streams",
+            "timeseries", "modelling", "searching", "nearest", "streams", "upkeep",
 ]
 
 
