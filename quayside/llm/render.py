@@ -46,7 +46,9 @@ P_SCOPE = frozenset("td th caption button object li dd dt body html table blockq
 
 # A quote opens a value only after the equals sign of an attribute; one that is not closed, or stands elsewhere, is a character like others.
 _PAIR = r"[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_PAIR})*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
+# Attributes run on to the first > outside a closed quote, so a tag that ends nowhere is one whose run reaches the end of the page.
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_PAIR})*+)>", re.S)
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 _SHEET_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 _SHEET_MARK = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|url\([^)]*\)|[{};]", re.I | re.S)
@@ -154,16 +156,23 @@ class _Builder:
 
 def build(source: str) -> tuple[Element, list[str]]:
     """The tree of a page and its style sheets. What is no tag is text; nothing makes it fail."""
-    tree, at = _Builder(), 0
-    while (m := _TOKEN.search(source, at)) is not None:
-        tree.text(source[at:m.start()])
-        at = m.end()
-        if not m[2]:
-            if tree.open[-1].space and m[0].startswith("<![CDATA["):
-                close = source.find("]]>", m.start())
-                raw, at = source[m.start() + 9:close if close >= 0 else len(source)], close + 3 if close >= 0 else len(source)
-                tree.open[-1].children.append(raw)
+    tree, at, start = _Builder(), 0, source.find("<")
+    while start >= 0:
+        after = source[start + 1:start + 3]
+        m = None
+        if after[:1].isascii() and after[:1].isalpha() or after[:1] == "/" and after[1:].isascii() and after[1:].isalpha():
+            m = _TAG.match(source, start)
+            if m is None:  # it ends nowhere, nor does any tag after it: read once, the rest is text
+                break
+        elif after[:1] not in ("!", "?", "/") or not after:
+            start = source.find("<", start + 1)
+            continue
+        tree.text(source[at:start])
+        if m is None:  # a comment, or what is read as one
+            at = _comment_end(source, start, tree)
+            start = source.find("<", at)
             continue
+        at = m.end()
         tag = m[2].lower()
         if m[1]:
             tree.end(tag)
@@ -178,10 +187,26 @@ def build(source: str) -> tuple[Element, list[str]]:
             elif tag == "xmp":
                 tree.open[-1].children.append(raw)
             tree.end(tag)
+        start = source.find("<", at)
     tree.text(source[at:])
     return tree.root, tree.styles
 
 
+def _comment_end(source: str, start: int, tree: _Builder) -> int:
+    """Where a comment ends that begins at ``start``; the text of a CDATA section inside SVG or MathML goes to the tree."""
+    if source.startswith("<!--", start):
+        if source.startswith((">", "->"), start + 4):  # <!--> and <!---> are whole comments
+            return source.index(">", start) + 1
+        end = _COMMENT_END.search(source, start + 4)
+        return end.end() if end else len(source)
+    if tree.open[-1].space and source.startswith("<![CDATA[", start):
+        close = source.find("]]>", start)
+        tree.open[-1].children.append(source[start + 9:close if close >= 0 else len(source)])
+        return close + 3 if close >= 0 else len(source)
+    end = source.find(">", start)
+    return end + 1 if end >= 0 else len(source)
+
+
 def _blocks(sheet: str) -> Iterator[tuple[str, str]]:
     """What stands before each outermost pair of braces, and what stands within it."""
     depth = start = 0

@@ -163,12 +163,28 @@ def test_additive_model_needs_its_pairs():
 
 
 def test_pairwise_sum_is_the_sum_over_pairs():
-    model = toxicity.FactorizationMachine(list(range(9)))
+    model = toxicity.FactorizationMachine()
     rng = np.random.default_rng(3)
     model.w, model.v, model.base = rng.normal(size=9), rng.normal(size=(9, 6)), 0.3
-    row = [1, 4, 7]
+    row = np.array([1, 4, 7], np.int32)
     brute = 0.3 + model.w[row].sum() + sum(model.v[a] @ model.v[b] for a in row for b in row if a < b)
-    assert model.raw([row, []])[0] == pytest.approx(brute) and model.raw([row, []])[1] == pytest.approx(0.3)
+    scores = model.raw([row, row[:0]])
+    assert scores[0] == pytest.approx(brute) and scores[1] == pytest.approx(0.3)
+
+
+def test_words_that_matter_only_together():
+    # toxic if exactly one of two balanced words is there: neither word alone tells anything
+    rng = random.Random(4)
+    texts, toxic = [], []
+    for _ in range(6000):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        found = words(rng, rng.randrange(5, 40)).split() + ["zork"] * one + ["quib"] * two
+        rng.shuffle(found)
+        texts.append(" ".join(found).encode())
+        toxic.append(int(one != two))
+    rows, y = toxicity.text_terms(texts, {}), np.array(toxic, float)
+    model = toxicity.FactorizationMachine().fit(rows[:5000], y[:5000])
+    assert np.mean((model.raw(rows[5000:]) > 0) == y[5000:]) > 0.95
 
 
 @pytest.mark.parametrize(("operator", "label"), [(quality, "quality"), (toxicity, "toxic")])
@@ -192,6 +208,28 @@ def test_a_bounded_sample_does_not_depend_on_partitions(spark, labelled):
     assert one == two
 
 
+# ---- pages with many marks
+
+def test_many_open_brackets_take_linear_time():
+    for page in ("<a ", "if a<b and c<d then ", '<a b="> " ', "<!-", "</ ", "<x y='"):
+        import time
+        times = []
+        for n in (20_000, 80_000):
+            start = time.perf_counter()
+            render.render(page * n)
+            times.append(time.perf_counter() - start)
+        assert times[1] < 0.5 + 12 * times[0]
+
+
+def test_comments_and_marks_that_are_no_tags():
+    assert render.render("a<!-->b<!--->c<!-- x --!>d") == "abcd"
+    assert render.render("<p>one</p>x < y & z <3 </ p>ok") == "one\n\nx < y & z <3 ok"
+    assert render.render("if a<b and c<d then e") == "if a<b and c<d then e"
+    assert render.render("a</>b<!doctype html>c<?xml x?>d<![CDATA[x]]>e") == "abcde"
+    assert render.render("<b>x</b> tail <b unfinished=") == "x tail <b unfinished="
+    assert render.render('<p title="x>y">hi</p><!-- never ended') == "hi"
+
+
 # ---- decontamination
 
 def brute_hits(text, items):
