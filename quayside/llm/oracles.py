@@ -1,6 +1,6 @@
 """SQL for the queries that SQL can express, on tables read by a plain engine."""
 
-from quayside.llm.licenses import BASE, COVERAGE, SHIFT, TEMPLATES
+from quayside.llm.license_texts import BASE, SENTENCES, TEXTS
 
 OP1_SQL = r"""
 with lines as (
@@ -23,28 +23,38 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from texts window w as (partition by body)
 """
 
-_PHRASES = ", ".join(f"('{p}', '{x}', {b})" for b, known in ((True, BASE), (False, TEMPLATES)) for p, x in known.items())
+_PHRASES = [(p, x, True) for p, x in BASE.items()] + [(p, x, False) for p, x in {**SENTENCES, **TEXTS}.items()]
+_TEMPLATES = ", ".join("({}, '{}', {}, '{}')".format(i, x, b, " ".join(p.split()).replace("'", "''")) for i, (p, x, b) in enumerate(_PHRASES))
 
+# Base phrases stand word for word. Other templates are searched by word pairs, by four words from
+# twelve words on; a span may drift a word for eight of its template, eight at most; 84 % of the
+# pairs, or 66 % of the runs of four, have to stand in order. The longest run in order is found by
+# lengthening runs by one later match at a time.
 OP4_SQL = rf"""
-with phrases(phrase, label, is_base) as (values {_PHRASES}),
-grams as (select phrase, label, is_base, len(string_split(phrase, ' ')) - 1 as grams, g.i as "at",
-                 string_split(phrase, ' ')[g.i + 1] || ' ' || string_split(phrase, ' ')[g.i + 2] as gram
-          from phrases, lateral (select unnest(range(len(string_split(phrase, ' ')) - 1)) as i) g),
-texts as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
-pairs as (select doc_id, p.i as pos, words[p.i + 1] || ' ' || words[p.i + 2] as gram
-          from texts, lateral (select unnest(range(len(words) - 1)) as i) p),
-diagonals as (select doc_id, phrase, label, is_base, grams, pos - "at" as diagonal, list(distinct "at") as hits,
-                     min(pos) as first_word from pairs join grams using (gram) group by all),
-opened as (select *, case when is_base or diagonal - lag(diagonal) over w <= {SHIFT} is not true then 1 else 0 end as opens
-           from diagonals window w as (partition by doc_id, phrase order by diagonal)),
-numbered as (select *, sum(opens) over (partition by doc_id, phrase order by diagonal rows unbounded preceding) as span from opened),
-spans as (select doc_id, label, is_base, min(first_word) as first_word,
-                 len(list_distinct(flatten(list(hits)))) / grams as score
-          from numbered group by doc_id, phrase, label, is_base, grams, span),
-judged as (select *, is_base and score >= 1 as base_hit, score >= case when is_base then 1.0 else {COVERAGE} end as verified from spans),
-found as (select doc_id, count(*) filter (base_hit) as n_base, min(first_word) filter (base_hit) as first_word,
-                 max(first_word) filter (base_hit) as last_word,
-                 string_agg(distinct label, ',' order by label) filter (base_hit) as base_labels,
+with recursive templates as (
+  select template, label, is_base, words, case when len(words) >= 12 and not is_base then 4 else 2 end as gram,
+         case when is_base then 0 else least(len(words) // 8, 8) end as shift,
+         case when is_base then 1.0 when len(words) >= 12 then 0.66 else 0.84 end as needed
+  from (select *, regexp_extract_all(translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+        from (values {_TEMPLATES}) t(template, label, is_base, said))),
+grams as (select template, gram, shift, len(words) - gram + 1 as grams, i."at", array_to_string(words[i."at" + 1:i."at" + gram], ' ') as said
+          from templates, lateral (select unnest(range(len(words) - gram + 1)) as "at") i),
+texts as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+rolled as (select doc_id, gram, i.pos, array_to_string(words[i.pos + 1:i.pos + gram], ' ') as said
+           from texts, (values (2), (4)) g(gram), lateral (select unnest(range(len(words) - gram + 1)) as pos) i),
+votes as (select doc_id, template, shift, grams, pos, "at", pos - "at" as diagonal from rolled join grams using (gram, said)),
+spans as (select v.doc_id, v.template, v.grams, s.diagonal as opened, v.pos, v."at"
+          from (select distinct doc_id, template, diagonal from votes) s
+          join votes v on v.doc_id = s.doc_id and v.template = s.template and v.diagonal between s.diagonal and s.diagonal + v.shift),
+runs(doc_id, template, grams, opened, pos, "at", n) as (
+  select *, 1 from spans
+  union select v.*, r.n + 1 from runs r join spans v on v.doc_id = r.doc_id and v.template = r.template and v.opened = r.opened
+        and v.pos > r.pos and v."at" > r."at"),
+scored as (select doc_id, template, opened, min(pos) as first_word, max(n) / any_value(grams) as score from runs group by all),
+judged as (select doc_id, label, is_base, first_word, score, score >= needed as verified from scored join templates using (template)),
+found as (select doc_id, count(*) filter (is_base and verified) as n_base, min(first_word) filter (is_base and verified) as first_word,
+                 max(first_word) filter (is_base and verified) as last_word,
+                 string_agg(distinct label, ',' order by label) filter (is_base and verified) as base_labels,
                  string_agg(distinct label, ',' order by label) filter (verified) as labels, max(score) as score
           from judged group by doc_id)
 select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
