@@ -52,3 +52,23 @@ def text_function(fn: Callable[[list[bytes]], list], returns: str, kind: pa.Data
         parts = [pa.array(fn(texts.slice(at, most).to_pylist()), kind) for at in range(0, len(texts), most)]
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
     return lambda text: run(text.cast("binary"))
+
+
+def once_each(docs: DataFrame, kept: DataFrame, key: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names, one for each of its rows, with the columns of ``docs``.
+
+    ``key`` has the columns of ``kept`` for id, both hashes of the text, and how many rows of
+    ``docs`` have them. The narrow side is what is held in memory, partition by partition,
+    and rows with their texts stream past it; only rows that repeat id and text, if there
+    are any, are compared among themselves.
+    """
+    i, t1, t2, n = key
+    mine = content_key(body(text_col))
+
+    def rows_for(part: DataFrame) -> DataFrame:
+        side = part.hint("shuffle_hash")
+        return docs.join(side, docs[id_col].eqNullSafe(side[i]) & (mine[0] == side[t1]) & (mine[1] == side[t2]))
+    once, repeated = rows_for(kept.filter(F.col(n) == 1)), kept.filter(F.col(n) > 1)
+    if not repeated.isEmpty():
+        once = once.unionAll(rows_for(repeated).dropDuplicates([i, t1, t2]))
+    return once.drop(*key)

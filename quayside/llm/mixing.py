@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quayside.fixed_values import SEED
-from quayside.llm.common import body, private
+from quayside.llm.common import body, content_key, private
 from quayside.operators.windows import row_numbers
 from quayside.session import settle
 
@@ -15,9 +15,6 @@ MOST_TIMES = 3
 # Words left over after the proportional part that the dynamic programme fits.
 EXACT_BUDGET = 65_536
 
-PLAN_SCHEMA = "source string, no_source boolean, size long, passes int, extra long"
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
@@ -94,25 +91,28 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, exact: int =
     return taken
 
 
-def _plan(rows: pd.DataFrame) -> pd.DataFrame:
+def _plan(rows: pa.Table) -> pa.Table:
     """The documents of one source by length, at most a row per length: whole passes and how many of each length once more."""
-    rows = rows.sort_values("size")
-    size, goal = int((rows["size"] * rows.n).sum()), round(float(rows.target.iloc[0]))
+    rows = rows.sort_by("size")
+    sizes, counts = rows["size"].to_pylist(), rows["n"].to_pylist()
+    size, goal = sum(x * n for x, n in zip(sizes, counts, strict=True)), round(rows["target"][0].as_py())
     passes = min(MOST_TIMES, goal // size) if size else 0
     budget = goal - passes * size if passes < MOST_TIMES else 0
-    extra = fit_budget(rows["size"].tolist(), rows.n.tolist(), budget) if size else [0] * len(rows)
-    return pd.DataFrame({"source": rows.source, "no_source": rows.no_source, "size": rows["size"], "passes": passes, "extra": extra})
+    extra = fit_budget(sizes, counts, budget) if size else [0] * len(sizes)
+    return pa.table({"s": rows["s"], "no_source": rows["no_source"], "size": rows["size"],
+                     "passes": pa.array([passes] * len(sizes), pa.int32()), "extra": pa.array(extra, pa.int64())})
 
 
 def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, t1, size, source_size, target, copies, taken)`` for every row.
+    """``(doc_id, source, t1, t2, size, source_size, target, copies, taken)`` for every row.
 
     Sizes count words between ASCII blanks. Documents are counted by source and exact
     length; from these counts alone each source is fitted to its target: whole passes over
     the source, then the number of documents of each length that make up the rest
     (:func:`fit_budget`). Which documents of a length are taken follows a seeded hash of id
-    and text, so reruns and other partitionings agree. Ranks within a length are counted in
-    1,024 hash pieces, so a length that a third of all rows share is no single task.
+    and text, so reruns and other partitionings agree. Documents are numbered along one
+    sort over all tasks, so neither a length that a third of all rows share nor rows that
+    repeat one id and text are a single task.
 
     Null sources are a source, ordered last. Null and empty texts have size 0 and take part
     in whole passes only. Null ids are told apart by their text; of fully repeated rows any
@@ -120,26 +120,23 @@ def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str
     """
     text = body(text_col)
     rows = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
-                              F.xxhash64(text).alias("t1")), "sizes")
+                              *(h.alias(n) for h, n in zip(content_key(text), ("t1", "t2"), strict=True))), "sizes")
     rows = rows.withColumn("no_source", F.col("source").isNull()).withColumn("s", F.coalesce("source", F.lit("")))
     targets = target_words(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = settle(targets.withColumn("no_source", F.col("source").isNull()).withColumn("s", F.coalesce("source", F.lit("")))
                      .drop("source"), "targets")
     key = ["s", "no_source"]
-    lengths = rows.groupBy(*key, "size").agg(F.count(F.lit(1)).alias("n")).join(targets.select(*key, "target"), key)
-    plan = lengths.withColumnRenamed("s", "source").groupBy("source", "no_source").applyInPandas(_plan, PLAN_SCHEMA)
-    plan = settle(plan.withColumnRenamed("source", "s"), "plan")
-    order = F.xxhash64("doc_id", "t1", F.lit(seed))
-    hashed = rows.withColumn("order", order).withColumn("piece", F.shiftrightunsigned("order", 54))
     group = [*key, "size"]
-    counts = hashed.groupBy(*group, "piece").agg(F.count(F.lit(1)).alias("c"))
-    before = W.partitionBy(*group).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)  # at most 1,024 rows
-    offsets = counts.select(*group, "piece", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    within = W.partitionBy(*group, "piece").orderBy("order", "doc_id", "t1")
-    ranked = hashed.withColumn("at", F.row_number().over(within)).join(offsets, [*group, "piece"])
-    chosen = ranked.join(plan, group).join(targets, key)
-    copies = F.col("passes") + (F.col("offset") + F.col("at") <= F.col("extra")).cast("int")
-    return chosen.select("doc_id", "source", "t1", "size", "source_size", "target", copies.alias("copies"),
+    order = [F.col(c) for c in group] + [F.xxhash64("doc_id", "t1", F.lit(seed)), F.col("doc_id").asc_nulls_last(), F.col("t1"), F.col("t2")]
+    ranked = row_numbers(rows, order, "place")
+    # a row per source and length: where its documents begin, and how many there are
+    lengths = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("begin"))
+    lengths = settle(lengths.join(targets.select(*key, "target"), key), "lengths")
+    schema = "s string, no_source boolean, size long, passes int, extra long"
+    plan = lengths.groupBy(*key).applyInArrow(_plan, schema).join(lengths.select(*group, "begin"), group).join(targets, key)
+    chosen = ranked.join(settle(plan, "plan"), group)
+    copies = F.col("passes") + (F.col("place") - F.col("begin") < F.col("extra")).cast("int")
+    return chosen.select("doc_id", "source", "t1", "t2", "size", "source_size", "target", copies.alias("copies"),
                          (copies * F.col("size")).cast("long").alias("taken"))
 
 
@@ -147,11 +144,20 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", t
                     source_col: str = "source") -> DataFrame:
     """``docs`` as the mix takes them: each row as many times as it is taken, all columns kept.
 
-    Rows that repeat id, source and text are one document here; it comes as often as all of them are taken.
+    Rows that repeat id, source and text are one document here; it comes as often as all of
+    them are taken. How often a document is taken is settled on narrow rows; texts move once.
     """
-    i, s, h, n = private(docs, "mix_id", "mix_source", "mix_hash", "mix_copies")
-    taken = mix(docs, seed, id_col, text_col, source_col).groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("t1").alias(h)) \
-        .agg(F.sum("copies").alias(n)).filter(F.col(n) > 0)
-    match = docs[id_col].eqNullSafe(taken[i]) & docs[source_col].eqNullSafe(taken[s]) & (F.xxhash64(body(text_col)) == taken[h])
-    once = docs.join(taken, match).dropDuplicates([i, s, h])
-    return once.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(i, s, h, n)
+    i, t1, t2, s, n, k = private(docs, "mix_id", "mix_t1", "mix_t2", "mix_source", "mix_copies", "mix_rows")
+    taken = mix(docs, seed, id_col, text_col, source_col).groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("t1").alias(t1), F.col("t2").alias(t2)) \
+        .agg(F.sum("copies").alias(n), F.count(F.lit(1)).alias(k)).filter(F.col(n) > 0)
+    taken = settle(taken, "taken")
+    h1, h2 = content_key(body(text_col))
+
+    def rows_for(part: DataFrame) -> DataFrame:
+        side = part.hint("shuffle_hash")
+        return docs.join(side, docs[id_col].eqNullSafe(side[i]) & docs[source_col].eqNullSafe(side[s]) & (h1 == side[t1]) & (h2 == side[t2]))
+    once, repeated = rows_for(taken.filter(F.col(k) == 1)), taken.filter(F.col(k) > 1)
+    if not repeated.isEmpty():
+        once = once.unionAll(rows_for(repeated).dropDuplicates([i, s, t1, t2]))
+    times = F.sequence(F.lit(1), F.col(n))
+    return once.withColumn(n, F.explode(times)).drop(i, t1, t2, s, n, k)

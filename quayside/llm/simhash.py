@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quayside.llm.common import body, private, text_function
+from quayside.llm.common import body, content_key, once_each, private, text_function
 from quayside.llm.components import components
 from quayside.session import settle
 
@@ -156,26 +156,44 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 3, radius: int = 3, i
     the result; an empty table gives an empty one; other columns are not read.
     """
     prints = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprints(body(text_col), shingle).alias("fingerprint")), "prints")
-    distinct = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct, radius, largest))
-    placed = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left") \
-        .withColumn("root", F.coalesce("root", "fingerprint"))
+    placed = _rooted(prints, radius, largest)
     first = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = settle(placed.select("fingerprint", "root").join(first, "root").select("fingerprint", "component_id"), "named")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _rooted(prints: DataFrame, radius: int, largest: int) -> DataFrame:
+    """``(fingerprint, first_id, root)`` of the different fingerprints: the smallest id they come
+    with, null only if there is no other, and the smallest fingerprint that links reach."""
+    distinct = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = components(links(distinct, radius, largest))
+    return distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left") \
+        .withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, one with the smallest id, all columns kept.
+                         text_col: str = "text", largest: int = 4096) -> DataFrame:
+    """``docs`` with one row of each component of linked fingerprints, all columns kept.
+
+    Components are those of the fingerprints, whatever the ids: rows without an id, or with
+    one id for several texts, stay apart unless their texts are linked. The row with the
+    smallest id stays, a null one only if the component has no other; of several texts with
+    that id the one with the smallest fingerprint, then hash; of rows that repeat id and
+    text any one. Null texts are empty; an empty table gives an empty result.
 
-    If the smallest id of a component comes with several fingerprints in it, the smallest
-    fingerprint stays; of repeated rows one stays.
+    What stays is settled on narrow rows: id, hashes of the text and fingerprint. Texts are
+    fingerprinted once and move once, past the kept keys of their partition.
     """
-    classes = near_duplicate_classes(docs, shingle, radius, id_col, text_col)
-    key, bits = private(docs, "kept_id", "kept_bits")
-    mine = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = settle(mine.groupBy("component_id").agg(F.min("fingerprint").alias(bits)).withColumnRenamed("component_id", key), "kept")
-    wanted = docs.join(kept, docs[id_col].eqNullSafe(kept[key]))
-    same = wanted.filter(fingerprints(body(text_col), shingle) == F.col(bits))
-    return same.dropDuplicates([key]).drop(key, bits)
+    text = body(text_col)
+    narrow = docs.select(F.col(id_col).alias("doc_id"), *(h.alias(n) for h, n in zip(content_key(text), ("t1", "t2"), strict=True)),
+                         fingerprints(text, shingle).alias("fingerprint"))
+    prints = settle(narrow, "prints")
+    placed = settle(_rooted(prints, radius, largest).select("fingerprint", "root"), "rooted")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fingerprint", "t1", "t2")
+    best = prints.join(placed, "fingerprint").groupBy("root").agg(F.min(order).alias("kept"))
+    key = private(docs, "kept_id", "kept_t1", "kept_t2", "kept_rows")
+    kept = best.select(*(F.col(f"kept.{c}").alias(k) for c, k in zip(("doc_id", "t1", "t2"), key, strict=False)))
+    rows = prints.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias(key[3]))
+    same_row = kept[key[0]].eqNullSafe(rows["doc_id"]) & (kept[key[1]] == rows["t1"]) & (kept[key[2]] == rows["t2"])
+    kept = settle(kept.join(rows, same_row).select(*key), "kept")
+    return once_each(docs, kept, key, id_col, text_col)

@@ -61,6 +61,25 @@ def test_quotient_filter_round_trip():
     assert (np.diff(half[0].astype(object)) > 0).all()
 
 
+# ---- near duplicates of rows that share an id or have none
+
+def test_unrelated_documents_stay_apart_whatever_their_ids(spark):
+    rng = random.Random(21)
+    texts = [words(rng, 600, 5000) for _ in range(6)]
+    near = " ".join(texts[5].split()[:-1])  # a copy of the last but for a word
+    rows = texts + [texts[0], texts[4], near, texts[2], None, ""]
+    ids = [None, None, 7, 7, 5, 9, None, 6, 8, 7, None, 3]
+    df = clashing(docs(spark, rows, ids)).repartition(5)
+    classes = simhash.near_duplicate_classes(df)
+    prints = {r.fingerprint for r in classes.collect()}
+    left = simhash.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in left.collect())
+    # one row of each text, the one with the smallest known id; of near copies the smallest id
+    assert got == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (5, texts[4]), (8, near), (3, "")])
+    assert 7 <= len(prints) <= 8
+
+
 # ---- lines
 
 def brute_lines(ids, texts, least=10):
