@@ -10,20 +10,24 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from quayside.fixed_values import SEED
 from quayside.llm.common import body, rows_of
 from quayside.session import settle
 
 # Words of a window; words of the grams that minimisers are taken from.
-WINDOW, GRAM = 20, 4
+WINDOW, GRAM = 20, 3
 # Super-k-mers of one bucket that a task compares at a time, and (id, text) pairs a task remembers.
 CHUNK, REMEMBERED = 8192, 200_000
+# Documents in the sample that tells which buckets are crowded, the share of a partition that
+# makes a bucket so, and in how many parts a partition's worth of one is dealt.
+CROWD_SAMPLE, CROWD_SHARE, PARTS_EACH = 5_000, 0.1, 4
 # Grams whose minimisers are searched at a time, for bounded memory in very long texts.
 _STRETCH = 1 << 16
 # Texts, and bytes of each, that the packing dictionary is made from; it only changes sizes.
 SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 2000, 65_536
 
 _KEY = ["doc_id", "no_id", "t1"]
-KMER_SCHEMA = "bucket long, doc_id long, no_id boolean, t1 long, start int, packed binary"
+KMER_SCHEMA = "bucket long, part int, doc_id long, no_id boolean, t1 long, start int, packed binary"
 FOUND_SCHEMA = "doc_id long, no_id boolean, t1 long, first int, last int, h1 long, h2 long"
 KEPT_SCHEMA = "doc_id long, n_words long, n_removed long, text string"
 
@@ -69,13 +73,14 @@ def _codec(dictionary: bytes | None) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
 
-def _cut(dictionary: bytes | None, window: int):
-    """Documents to super-k-mers, each packed as one string; repeated rows of a task are cut once."""
+def _cut(dictionary: bytes | None, window: int, crowded: dict[int, int]):
+    """Documents to super-k-mers, each packed as one string; repeated rows of a task are cut once.
+    Those of a crowded bucket are dealt over its parts by document."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False, write_dict_id=False, **_codec(dictionary)).compress
         seen: set = set()
         for batch in rows_of(batches, 64):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for doc, none, t1, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (doc, none, t1) in seen:
                     continue
@@ -95,14 +100,40 @@ def _cut(dictionary: bytes | None, window: int):
                     column.extend([value] * len(first))
                 out[4].append(first)
                 out[5].extend(pack(line[a:b]) for a, b in zip(begin, end, strict=True))
+                place = hash((doc, none, t1))
+                out[6].extend(place % crowded[k] if k in crowded else -1 for k in buckets.tolist())
             if out[5]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out[0])), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64()),
-                     pa.array(np.concatenate(out[4]).astype(np.int32)), pa.array(out[5], pa.binary())],
-                    ["bucket", *_KEY, "start", "packed"])
+                    [pa.array(np.concatenate(out[0])), pa.array(out[6], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()),
+                     pa.array(out[3], pa.int64()), pa.array(np.concatenate(out[4]).astype(np.int32)), pa.array(out[5], pa.binary())],
+                    ["bucket", "part", *_KEY, "start", "packed"])
     return run
 
 
+def _count(window: int):
+    """How many super-k-mers of a batch have each minimiser."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [super_kmers(t.as_py().split(), window)[0] for t in batch.column(0)]
+            buckets, counts = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(counts)], ["bucket", "n"])
+    return run
+
+
+def crowded_buckets(texts: DataFrame, window: int, partitions: int) -> dict[int, int]:
+    """The buckets that hold a good share of a partition or more, and in how many parts to deal each.
+
+    Judged on a sample of documents, as only the load of tasks depends on it. At most
+    ``partitions / CROWD_SHARE`` buckets can be crowded.
+    """
+    n = texts.count()
+    sample = texts.select("text") if n <= CROWD_SAMPLE else texts.select("text").sample(CROWD_SAMPLE / n, SEED)
+    counts = settle(sample.mapInArrow(_count(window), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1"), "buckets")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(32, CROWD_SHARE * total / partitions)
+    return {b: max(2, -(-PARTS_EACH * k * partitions // total)) for b, k in counts.filter(F.col("n") >= least).collect()}
+
+
 def _windows(text: bytes, window: int) -> tuple[list[bytes], int]:
     """The windows of an unpacked super-k-mer, and how many words it has."""
     words = text.split(b" ")
@@ -171,29 +202,28 @@ def _judge(rows: list[tuple], unpack, window: int, partial: bool, found: _Found)
 
 
 def _search(dictionary: bytes | None, window: int, chunk: int):
-    """One range of the super-k-mers, sorted by bucket, document and place, read once.
+    """One partition of the super-k-mers, sorted by bucket, part, document and place, read once.
 
-    A bucket of one string holds nothing to compare. The range's first and last bucket may
-    go on in other ranges, and a bucket of more than ``chunk`` strings is judged in parts:
-    their earliest windows are reported as pending.
+    A bucket of one string holds nothing to compare. The parts of a crowded bucket, and
+    those of a bucket of more than ``chunk`` strings, are judged one by one: their earliest
+    windows are reported as pending.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(**_codec(dictionary)).decompress
-        found, held, opening, bucket, parted, last = _Found(), [], None, None, False, None
+        found, held, current, parted, last = _Found(), [], None, False, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            buckets = batch.column("bucket").to_numpy()
-            starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+            buckets, parts = batch.column("bucket").to_numpy(), batch.column("part").to_numpy()
+            starts = np.flatnonzero(np.append(True, (buckets[1:] != buckets[:-1]) | (parts[1:] != parts[:-1])))
             stops = np.append(starts[1:], len(buckets))
-            opening = int(buckets[0]) if opening is None else opening
-            # buckets of one string inside a batch need no look; those at its ends may go on
-            look = (stops - starts > 1) | (starts == 0) | (stops == len(buckets))
+            # buckets of one string inside a batch need no look; those at its ends may go on, and parts have others
+            look = (stops - starts > 1) | (starts == 0) | (stops == len(buckets)) | (parts[starts] >= 0)
             for begin, stop in zip(starts[look].tolist(), stops[look].tolist(), strict=True):
-                now = int(buckets[begin])
-                if now != bucket:
-                    _judge(held, unpack, window, parted or bucket == opening, found)
-                    held, bucket, parted, last = [], now, False, None
+                now = int(buckets[begin]), int(parts[begin])
+                if now != current:
+                    _judge(held, unpack, window, parted, found)
+                    held, current, parted, last = [], now, now[1] >= 0, None
                 for at in range(begin, stop, chunk):
                     part = batch.slice(at, min(chunk, stop - at))
                     for row in zip(*(part.column(c).to_pylist() for c in (*_KEY, "start", "packed")), strict=True):
@@ -206,29 +236,38 @@ def _search(dictionary: bytes | None, window: int, chunk: int):
                             held, parted = [], True
                 if len(found.rows) >= 4096:
                     yield found.take()
-        _judge(held, unpack, window, True, found)
+        _judge(held, unpack, window, parted, found)
         if found.rows:
             yield found.take()
     return run
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(row_id, doc_id, no_id, t1, text)``: ids as given, and what names a document. The
+    text's hash is part of that only where ids are null or come more than once."""
+    text = body(text_col)
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
+    tie = F.lit(0).cast("long") if rows == ids else F.xxhash64(text)
+    return docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"),
+                       F.col(id_col).isNull().alias("no_id"), tie.alias("t1"), text.cast("binary").alias("text"))
+
+
 def repeated_stretches(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, no_id, t1, first, last)``: words ``first`` up to ``last`` of a document lie in
     windows whose words also start earlier, in a smaller document or further up in the same.
 
     Consecutive windows with one minimiser travel as one packed string to the bucket of the
-    minimiser. Super-k-mers are range-partitioned on bucket, document and place, so a bucket
-    that a third of all documents share is dealt over many ranges. What such a bucket's
-    parts hold as their earliest windows is compared once more by 128 bits of the content,
-    a row per part and window.
+    minimiser. A bucket that many documents share is dealt in parts by document, over as many
+    tasks as its share of all rows asks for; a part's earliest windows are compared with
+    those of the other parts by 128 bits of their content, a row per part and window.
     """
-    text = body(text_col)
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"), F.col(id_col).isNull().alias("no_id"),
-                       F.xxhash64(text).alias("t1"), text.cast("binary").alias("text"))
+    spark = docs.sparkSession
+    rows = keyed_texts(docs, id_col, text_col)
     dictionary = packing_dictionary(docs, text_col)
-    order = ["bucket", "no_id", "doc_id", "t1", "start"]
-    kmers = rows.mapInArrow(_cut(dictionary, window), KMER_SCHEMA).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = settle(kmers.mapInArrow(_search(dictionary, window, chunk), FOUND_SCHEMA), "stretches")
+    crowded = crowded_buckets(rows, window, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kmers = rows.select(*_KEY, "text").mapInArrow(_cut(dictionary, window, crowded), KMER_SCHEMA).repartition("bucket", "part") \
+        .sortWithinPartitions("bucket", "part", "no_id", "doc_id", "t1", "start")
+    found = settle(kmers.mapInArrow(_search(dictionary, window, chunk), FOUND_SCHEMA), "stretches", remove_shuffles=True)
     place = F.struct("no_id", "doc_id", "t1", "first")
     pending = found.filter(F.col("h1").isNotNull())
     owners = pending.groupBy("h1", "h2").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
@@ -274,8 +313,6 @@ def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, chunk: int = C
     packed = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
     stretches = settle(repeated_stretches(docs, window, chunk, id_col, text_col).groupBy(*_KEY)
                        .agg(F.collect_list(packed).alias("stretches")), "removals").withColumnsRenamed({c: f"of_{c}" for c in _KEY})
-    text = body(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc_id"),
-                       F.col(id_col).isNull().alias("no_id"), F.xxhash64(text).alias("t1"), text.cast("binary").alias("text"))
+    rows = keyed_texts(docs, id_col, text_col)
     same = (F.col("doc_id") == F.col("of_doc_id")) & (F.col("no_id") == F.col("of_no_id")) & (F.col("t1") == F.col("of_t1"))
     return rows.join(stretches, same, "left").select("row_id", "text", "stretches").mapInArrow(_without, KEPT_SCHEMA)
