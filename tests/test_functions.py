@@ -34,9 +34,9 @@ def test_container_flags_are_case_sensitive_and_gated(spark):
 
 
 def test_fingerprint(spark):
-    rows = [("LIVERPÒOL",), ("Liver-Pool",), ("HAI  PHONG",), ("Łódź",)]
+    rows = [("TRÙNMOOR",), ("Trun-Moor",), ("HAI  PHONG",), ("Łódź",)]
     got = [r[0] for r in values(spark, rows, "c string", text.fingerprint("c"))]
-    assert got[:3] == ["LIVERPOOL", "LIVERPOOL", "HAIPHONG"]
+    assert got[:3] == ["TRUNMOOR", "TRUNMOOR", "HAIPHONG"]
 
 
 def test_numbers(spark):
