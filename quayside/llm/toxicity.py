@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,10 +49,11 @@ class _Block:
 
     def __init__(self, rows: list[np.ndarray], y: np.ndarray):
         flat = np.concatenate(rows)
-        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        owner = np.repeat(np.arange(len(rows), dtype=np.int16), [len(r) for r in rows])  # blocks are short
         order = np.argsort(flat, kind="stable")
         self.owner, self.y = owner[order], y
-        self.terms, self.starts, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
+        self.terms, starts, counts = np.unique(flat[order], return_index=True, return_counts=True)
+        self.starts, self.counts = starts.astype(np.int32), counts.astype(np.int32)
 
 
 class FactorizationMachine:
@@ -171,17 +173,20 @@ class FactorizationMachine:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> FactorizationMachine:
     """The machine of at most ``most`` labelled documents outside the held-out fifth.
 
-    The executors turn the sampled texts into terms; the driver gets, packed, which terms
-    each sampled document has.
+    The executors turn the sampled texts into terms; the driver gets, packed as the steps
+    from term to term, which terms each sampled document has.
     """
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}
         for batch in rows_of(batches):
-            rows = [r.tobytes() for r in text_terms(batch.column(0).to_pylist(), memory)]
+            rows = [zlib.compress(np.diff(r, prepend=0).astype(np.int32).tobytes(), 1) for r in text_terms(batch.column(0).to_pylist(), memory)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["terms", "label"])
     found = labelled_sample(docs, labels, label, most).mapInArrow(encode, "terms binary, label int").toArrow()
-    rows = sorted(zip(found["terms"].to_pylist(), found["label"].to_pylist(), strict=True))
-    return FactorizationMachine().fit([np.frombuffer(r, np.int32) for r, _ in rows], np.array([y for _, y in rows], float))
+    packed = sorted(zip(found["terms"].to_pylist(), found["label"].to_pylist(), strict=True))
+    rows = [np.cumsum(np.frombuffer(zlib.decompress(r), np.int32), dtype=np.int32) for r, _ in packed]
+    y = np.array([label for _, label in packed], float)
+    del found, packed
+    return FactorizationMachine().fit(rows, y)
 
 
 def scorer(model: FactorizationMachine):
