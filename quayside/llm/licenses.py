@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from quayside.llm.common import body, content_key
 from quayside.llm.license_texts import BASE, SENTENCES, TEXTS
 from quayside.llm.line_dedup import LOWER, UPPER
+from quayside.session import settle
 
 # Words of the grams that short and long templates are searched by; a template is long from this many words.
 SHORT_GRAM, LONG_GRAM, LONG_FROM = 2, 4, 12
@@ -88,7 +89,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Only matches are shuffled. A text that repeats a template many times has a span for each.
     """
     templates = template_table(docs.sparkSession) if templates is None else templates
-    grams = template_grams(templates)
+    grams = settle(template_grams(templates), "grams")  # written, so that the planner knows how few they are
     text = body(text_col)
     texts = docs.select(F.col(id_col).alias("doc_id"), *(h.alias(n) for h, n in zip(content_key(text), ("t1", "t2"), strict=True)),
                         words(text).alias("words"))
