@@ -9,7 +9,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quayside.fixed_values import SIZE_ORDER
-from quayside.operators import explain, features, learners
+from quayside.operators import explain, features, learners, sparse
 from quayside.operators.evaluation import cross_period_matrix
 from quayside.operators.sampling import stratified_split
 from quayside.session import settle
@@ -57,7 +57,7 @@ def question_rows(fact: DataFrame, question: str, reduced: bool = False) -> Data
 
 class ModelFrame:
     """Encoding learnt on training rows: ranks for sizes, dummies without the first level
-    for other text, numbers scaled to 0..1 when asked for."""
+    for other text, whatever the number of levels, numbers scaled to 0..1 when asked for."""
 
     def __init__(self, train: DataFrame, target: str, keep: list[str], scale: bool = True):
         kinds = {c: k for c, k in train.dtypes if c != target and c not in keep}
@@ -65,10 +65,10 @@ class ModelFrame:
         self.sizes = [c for c in SIZE_COLUMNS if c in kinds]
         self.flags = [c for c, k in kinds.items() if k == "boolean"]
         text = [c for c, k in kinds.items() if k == "string" and c not in self.sizes]
-        self.levels = features.fit_levels(train, *text) if text else {}
-        dummies = [features.dummy_name(c, v) for c, values in self.levels.items() for v in values[1:]]
-        self.numbers = [c for c in kinds if c not in self.levels]
-        self.names = [*self.numbers, *dummies]
+        self.text = text
+        self.levels = sparse.fit_level_table(train, text) if text else None
+        self.numbers = [c for c in kinds if c not in text]
+        self.names = sparse.feature_names(self.levels, self.numbers) if text else self.numbers
         self.bounds = features.minmax_fit(self._coded(train), self.numbers) if scale else None
 
     def _coded(self, df: DataFrame) -> DataFrame:
@@ -78,9 +78,11 @@ class ModelFrame:
 
     def apply(self, df: DataFrame) -> DataFrame:
         """``keep``, target and feature vector, written once as learners read it often."""
-        coded = features.dummy_encode(self._coded(df), self.levels) if self.levels else self._coded(df)
+        coded = self._coded(df)
         if self.bounds is not None:
             coded = features.minmax_apply(coded, self.bounds, self.numbers)
+        if self.levels is not None:
+            return sparse.sparse_matrix(coded.select(*self.keep, self.target, *self.numbers, *self.text), self.levels, self.numbers, self.text)
         return settle(features.assemble(coded, self.names, self.target)
                       .select(*self.keep, self.target, "features"), "features")
 
