@@ -95,7 +95,10 @@ def shipments_by_open_closures(t):
     select closure, c.nation, count(*) as n, min(ordered) as first_ordered, max(shipped) as last_shipped
     from spans s join {CLOSURES_SQL} c on s.nation = c.nation and ordered <= reopened and closed <= shipped group by all""")
 def closure_overlaps(t):
-    spans = t.shipments("customer").groupBy(F.col("foreign_nation").alias("buyer"), "order_key").agg(F.min("order_date").alias("ordered"), F.max("ship_date").alias("shipped"))
-    found = intervals.overlap_join(spans, _closures(t), ("ordered", "shipped"), ("closed", "reopened"), {"buyer": "nation"})
+    spans = t.shipments("customer").groupBy(F.col("foreign_nation").alias("buyer"), "order_key") \
+        .agg(F.min("order_date").alias("ordered"), F.max("ship_date").alias("shipped")).withColumn("one", F.lit(1).cast("long"))
+    totals = {"n": ("sum", "one"), "first_ordered": ("min", "ordered"), "last_shipped": ("max", "shipped")}
+    found = intervals.overlap_join(spans, _closures(t), ("ordered", "shipped"), ("closed", "reopened"), {"buyer": "nation"}, totals)
+    # a row per closure, unless its key repeats
     return found.groupBy("closure", F.col("buyer").alias("nation")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("ordered").alias("first_ordered"), F.max("shipped").alias("last_shipped"))
+        F.sum("n").alias("n"), F.min("first_ordered").alias("first_ordered"), F.max("last_shipped").alias("last_shipped"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quayside.operators import asof, features, intervals, learners, name_groups, names, sparse
 from quayside.plans import warehouse
+from quayside.plans.catalog import nearest
+from quayside.plans.views import Tables
 from quayside.streaming import weekly
 
 DAY = dt.date(2020, 1, 1)
@@ -141,6 +143,44 @@ def test_overlaps(spark):
         (i, j) for i, k, x, y in one for j, c, p, q in two
         if k is not None and k == c and None not in (x, p) and x <= y and p <= q and x <= q and p <= y)
 
+    most = intervals.overlap_join(a.withColumn("one", F.lit(1).cast("long")).unionAll(a.withColumn("one", F.lit(1).cast("long"))), b, ("x", "y"), ("p", "q"), {"k": "c"},
+                                  {"n": ("sum", "one"), "first": ("min", "x"), "last": ("max", "y")})
+    assert most.columns == ["j", "k", "p", "q", "n", "first", "last"]
+    of = {}
+    for r in got.collect():
+        of.setdefault(r.j, []).append(r)
+    assert {r.j: (r.n, r.first, r.last) for r in most.collect()} == {
+        j: (2 * len(found), min(r.x for r in found), max(r.y for r in found)) for j, found in of.items()}
+
+
+@pytest.mark.parametrize("name", ["closure_overlaps"])
+def test_pairs_do_not_follow_the_shipments(spark, tmp_path, monkeypatch, name):
+    """The intervals meet as many rows when every order comes ten times under other keys."""
+    def tables(folder, copies):
+        orders = [(10 * i + c, i % 2, str(day(3 * i)), 480_500.0 if i % 4 == 0 and c == 0 else 1000.0) for i in range(40) for c in range(copies)]
+        spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double") \
+            .withColumn("o_orderpriority", F.lit("1")).write.parquet(f"{folder}/orders.parquet")
+        spark.createDataFrame([(0, 5), (1, 6)], "c_custkey long, c_nationkey int").withColumns({"c_name": F.lit("x"), "c_mktsegment": F.lit("y")}) \
+            .write.parquet(f"{folder}/customer.parquet")
+        items = [(k, n, 2.0, "R" if n else "A", str(dt.date.fromisoformat(at) + dt.timedelta(days=4 + n))) for k, _, at, _ in orders for n in (0, 1)]
+        spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate string").selectExpr(
+            "*", "1L as l_partkey", "1L as l_suppkey", "1.0D as l_extendedprice", "0.0D as l_discount", "0.0D as l_tax", "'O' as l_linestatus") \
+            .withColumn("l_shipdate", F.col("l_shipdate").cast("date")).write.parquet(f"{folder}/lineitem.parquet")
+        return Tables(spark, folder)
+
+    met = []
+    plain = intervals.point_in_interval
+
+    def counted(*args, **kwargs):
+        out = plain(*args, **kwargs)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(intervals, "point_in_interval", counted)
+    n = {copies: sum(r.n for r in getattr(nearest, name)(tables(str(tmp_path / str(copies)), copies)).collect()) for copies in (1, 10)}
+    half = len(met) // 2
+    assert met[:half] == met[half:] and sum(met) > 0 and n[10] == 10 * n[1]
+
 
 # ---- streaming
 
