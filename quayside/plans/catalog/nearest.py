@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quayside.operators import asof, intervals
+from quayside.operators.joins import measured
 from quayside.plans.registry import query
 from quayside.plans.views import shipments_sql
 from quayside.session import settle
@@ -83,10 +84,11 @@ def shipments_in_closures(t):
     select trade_direction, year, closure is not null as closed, count(*) as n, count(distinct closure) as n_closures
     from s left join {CLOSURES_SQL} c on foreign_nation = nation and ship_date >= closed and ship_date < reopened group by all""")
 def shipments_by_open_closures(t):
-    s = t.shipments("customer").select("trade_direction", "year", "foreign_nation", "ship_date")
-    found = intervals.point_in_interval(s, _closures(t), "ship_date", "closed", "reopened", {"foreign_nation": "nation"}, "left", closed=False)
+    # a row per direction, country and day; the year follows from the day
+    days = measured(t.shipments("customer").groupBy("trade_direction", "year", "foreign_nation", "ship_date").agg(F.count(F.lit(1)).alias("rows")))
+    found = intervals.point_in_interval(days, _closures(t), "ship_date", "closed", "reopened", {"foreign_nation": "nation"}, "left", closed=False)
     return found.groupBy("trade_direction", "year", F.col("closure").isNotNull().alias("closed")) \
-        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("closure").alias("n_closures"))
+        .agg(F.sum("rows").alias("n"), F.count_distinct("closure").alias("n_closures"))
 
 
 @query("closure_overlaps", f"""
