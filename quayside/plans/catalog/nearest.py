@@ -73,10 +73,11 @@ def _closures(t):
     select nation, closure, closed, reopened, count(*) as n, round(sum(metric_tons), 4) as metric_tons
     from {shipments_sql("customer")} join {CLOSURES_SQL} c on foreign_nation = nation and ship_date between closed and reopened group by all""")
 def shipments_in_closures(t):
-    s = t.shipments("customer").select("foreign_nation", "ship_date", "metric_tons")
-    inside = intervals.point_in_interval(s, _closures(t), "ship_date", "closed", "reopened", {"foreign_nation": "nation"})
+    # a row per country and day, so that the pairs grow with the closures and not with closures times shipments
+    days = measured(t.shipments("customer").groupBy("foreign_nation", "ship_date").agg(F.count(F.lit(1)).alias("n"), F.sum("metric_tons").alias("metric_tons")))
+    inside = intervals.point_in_interval(days, _closures(t), "ship_date", "closed", "reopened", {"foreign_nation": "nation"})
     return inside.groupBy(F.col("foreign_nation").alias("nation"), "closure", "closed", "reopened") \
-        .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("metric_tons"), 4).alias("metric_tons"))
+        .agg(F.sum("n").alias("n"), F.round(F.sum("metric_tons"), 4).alias("metric_tons"))
 
 
 @query("shipments_by_open_closures", f"""

@@ -153,7 +153,7 @@ def test_overlaps(spark):
         j: (2 * len(found), min(r.x for r in found), max(r.y for r in found)) for j, found in of.items()}
 
 
-@pytest.mark.parametrize("name", ["shipments_by_open_closures", "closure_overlaps"])
+@pytest.mark.parametrize("name", ["shipments_in_closures", "shipments_by_open_closures", "closure_overlaps"])
 def test_pairs_do_not_follow_the_shipments(spark, tmp_path, monkeypatch, name):
     """The intervals meet as many rows when every order comes ten times under other keys."""
     def tables(folder, copies):
