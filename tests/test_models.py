@@ -73,6 +73,11 @@ def test_learners_beat_the_mean(train, fit):
     assert errors.n == 2_000 and 0.8 < errors.r2 <= 1.0
 
 
+def test_a_forest_grows_in_groups_that_fit_a_cache():
+    forest = learners.random_forest("y")
+    assert forest.getNumTrees() == 100 and forest.getMaxDepth() == 10 and forest.getMaxMemoryInMB() <= 8
+
+
 def test_lasso_shrinks_with_the_penalty(train):
     small, large = (learners.fit_linear(train, "y", 1.0, a).coefficients.toArray() for a in (1e-4, 0.5))
     assert np.abs(large).sum() < np.abs(small).sum() and large[2] == 0
