@@ -311,6 +311,14 @@ def test_sparse_matrix_gives_the_same_coefficients(spark):
     assert thin.intercept == pytest.approx(full.intercept, abs=1e-8)
 
 
+def test_files_of_a_matrix_have_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "FILE_ROWS", 100)
+    df = spark.range(950).select(F.col("id").cast("double").alias("x"), F.concat(F.lit("c"), F.col("id") % 3).alias("c")).coalesce(1)
+    matrix = sparse.sparse_matrix(df, sparse.fit_level_table(df, ["c"]), ["x"], ["c"])
+    files = [r["count"] for r in matrix.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == 950 and max(files) <= 100
+
+
 def test_sparse_matrix_of_many_levels_and_odd_ones(spark):
     df = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("c"), F.col("id").cast("double").alias("x"), F.col("id").alias("k"))
     levels = sparse.fit_level_table(df.filter("k < 2500"), ["c"])
