@@ -22,8 +22,10 @@ class Checked:
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
     """``(file, titles)``: the first line of every CSV file of a folder. Of a large file only its first part can hold it."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                                         F.monotonically_increasing_id().alias("at"))
-    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+                                         F.monotonically_increasing_id().alias("at")).filter("start = 0")
+    # the places of the first lines, a number per file, then those lines: taking the texts along would sort every line
+    at = settle(lines.groupBy("file").agg(F.min("at").alias("first")).select("first"), "first-lines")
+    first = lines.join(at, F.col("at") == F.col("first"), "left_semi").withColumnRenamed("value", "header")
     titles = F.from_json(F.to_json(F.split(F.regexp_replace("header", "^﻿", ""), ",")), "array<string>")
     return first.select("file", F.transform(titles, lambda t: F.trim(t, F.lit(' "\r'))).alias("titles"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F, types as T
 from quayside.operators import sketches
 from quayside.plans import warehouse
 from quayside.plans.increments import SizedFact
-from quayside.sources.checked import read_checked
+from quayside.sources.checked import file_headers, read_checked
 
 SCHEMA = T.StructType([T.StructField("Date", T.StringType()), T.StructField("Tons", T.DoubleType()), T.StructField("Day", T.DateType()),
                        T.StructField("Port", T.StringType())])
@@ -47,6 +47,15 @@ def test_nothing_required_and_no_lines(spark, tmp_path):
     assert [tuple(r) for r in read.kept.collect()] == [(None, None, None, None)]
 
 
+def test_headers_are_found_without_sorting_lines(spark, tmp_path):
+    for name in "abc":
+        write(tmp_path / "in", f"{name}.csv", f"Z,{name},A\n" + "".join(f"{i},0,0\n" for i in range(50)))
+    found = file_headers(spark, str(tmp_path / "in"))
+    assert sorted((r.file[-5:], *r.titles) for r in found.select("file", "titles").collect()) == [(f"{n}.csv", "Z", n, "A") for n in "abc"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan
+
+
 # ---- deliveries
 
 ENTITIES = {"us": "us_size", "abroad": "abroad_size"}
