@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quayside.operators import asof, features, intervals, learners, name_groups, names, sparse
 from quayside.plans import warehouse
-from quayside.plans.catalog import nearest
+from quayside.plans.catalog import nearest, searching
 from quayside.plans.views import Tables
 from quayside.streaming import weekly
 
@@ -319,6 +319,21 @@ def test_files_of_a_matrix_have_bounded_rows(spark, monkeypatch):
     assert sum(files) == 950 and max(files) <= 100
 
 
+def test_training_and_test_rows_are_tables_of_their_own(spark, tmp_path):
+    """A learner's pass over one side does not unpack the rows of the other."""
+    items = [(i % 20, i, 0, 0, float(i), float(i), 0.1, 0.2, "R" if i % 2 else "A", "O", dt.datetime(1998 + i % 4, 5, 1) if i % 9 else None) for i in range(60)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, "
+                                 "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(0, "n", "Brand#1", "t", 3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(k, 0, str(k % 3), DAY) for k in range(20)], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate date") \
+        .write.parquet(str(tmp_path / "orders.parquet"))
+    train, test, names = searching.split(Tables(spark, str(tmp_path)))
+    dated = [i for i in range(60) if i % 9]
+    assert sorted(r.value_usd for r in train.collect()) == [i for i in dated if i % 4 < 2]
+    assert sorted(r.value_usd for r in test.collect()) == [i for i in dated if i % 4 >= 2]
+    assert not set(train.inputFiles()) & set(test.inputFiles()) and all(r.features.size == len(names) for r in train.unionAll(test).collect())
+
+
 def test_sparse_matrix_of_many_levels_and_odd_ones(spark):
     df = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("c"), F.col("id").cast("double").alias("x"), F.col("id").alias("k"))
     levels = sparse.fit_level_table(df.filter("k < 2500"), ["c"])
