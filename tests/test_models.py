@@ -73,9 +73,12 @@ def test_learners_beat_the_mean(train, fit):
     assert errors.n == 2_000 and 0.8 < errors.r2 <= 1.0
 
 
-def test_a_forest_grows_in_groups_that_fit_a_cache():
-    forest = learners.random_forest("y")
-    assert forest.getNumTrees() == 100 and forest.getMaxDepth() == 10 and forest.getMaxMemoryInMB() <= 8
+def test_a_forest_of_many_rows_grows_in_groups_that_fit_a_cache(train, monkeypatch):
+    few = learners.fit_random_forest(train, "y", trees=3, depth=3)
+    monkeypatch.setattr(learners, "FOREST_ROWS", 2_000)
+    many = learners.fit_random_forest(train, "y", trees=3, depth=3)
+    assert many.getMaxMemoryInMB() <= 8 < few.getMaxMemoryInMB()
+    assert many.getNumTrees == 3 and learners.score(many, "y", train=train).first().n == 2_000
 
 
 def test_lasso_shrinks_with_the_penalty(train):
