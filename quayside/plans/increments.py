@@ -1,4 +1,4 @@
-"""The sized fact built in steps: each delivery rewrites only the years it touches.
+"""The sized fact built in steps: each delivery adds to the years it has new rows in.
 
 Two tables make up the state: the fact by year, and the sums per year that company sizes
 need. Sizes depend on all years, so they are not stored with the rows; they are taken from
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quayside import fixed_values as fixed
 from quayside.operators.columns import dedupe
-from quayside.operators.joins import keep_qualifying, measured, semi_qualifying
+from quayside.operators.joins import keep_qualifying, semi_qualifying
 from quayside.plans.warehouse import entity_sizes
 from quayside.session import settle
 
@@ -40,34 +40,55 @@ class SizedFact:
         """Rewrites the years that ``rows`` has; the folders of other years are not touched."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.year).parquet(path)
 
+    def _years(self, rows: DataFrame) -> list:
+        return [r[0] for r in rows.select(self.year).distinct().collect()]  # calendar years
+
+    def _of_years(self, stored: DataFrame, years: list, like: DataFrame) -> DataFrame:
+        """Stored rows of these years, the year with the type it has in ``like``."""
+        known = [y for y in years if y is not None]
+        touched = F.col(self.year).isin(known) if known else F.lit(False)
+        touched = touched | F.col(self.year).isNull() if None in years else touched
+        return stored.filter(touched).withColumn(self.year, F.col(self.year).cast(like.schema[self.year].dataType))
+
     def deliver(self, rows: DataFrame, replace: bool = False) -> list:
         """Adds rows, or with ``replace`` puts them in place of the years they have; returns those years.
 
-        Copies go, among the new rows and against the stored ones. The touched years are
-        read, merged and written to the shared folder before they replace the stored ones; a
-        delivery that fails on the way can be repeated, and a repeated one changes nothing.
-        Sums follow from the merged rows of the touched years alone.
+        Copies go, among the new rows and against the stored ones, in one distinct of both;
+        only what is new is written, first to the shared folder, then beside the stored rows,
+        which stay as they are. ``rows`` is read twice, so let it be a table. Sums follow
+        from the stored and the new rows of the years that have new ones, and are replaced
+        before the rows are added: a delivery that fails on the way finds the same new
+        rows when it is repeated, and one that was delivered before changes nothing.
         """
-        rows = settle(dedupe(rows), "delivery")
-        years = [r[0] for r in rows.select(self.year).distinct().collect()]  # calendar years
+        years = self._years(rows)
         stored = None if replace else self._read(self.fact_path)
-        if stored is not None:
-            known = [y for y in years if y is not None]
-            touched = F.col(self.year).isin(known) if known else F.lit(False)
-            touched = touched | F.col(self.year).isNull() if None in years else touched
-            rows = settle(dedupe(rows.unionByName(stored.filter(touched).withColumn(self.year, F.col(self.year).cast(rows.schema[self.year].dataType)))), "merged")
-        if years:
-            self._replace(rows, self.fact_path)
-            self._replace(rows.groupBy(self.year, *self.entities).agg(F.sum(self.measure).alias(self.measure)), self.sums_path)
+        if stored is None:
+            new, touched = settle(dedupe(rows), "delivery"), years
+        else:
+            stored = self._of_years(stored, years, rows)
+            both = rows.withColumn("_stored", F.lit(False)).unionByName(stored.withColumn("_stored", F.lit(True)))
+            new = both.groupBy(*rows.columns).agg(F.bool_or("_stored").alias("_stored")).filter(~F.col("_stored")).drop("_stored")
+            new = settle(new, "delivery")
+            touched = self._years(new)
+        if touched:
+            merged = new if stored is None else new.unionByName(self._of_years(stored, touched, rows))
+            self._replace(merged.groupBy(self.year, *self.entities).agg(F.sum(self.measure).alias(self.measure)), self.sums_path)
+            if stored is None:
+                self._replace(new, self.fact_path)
+            else:
+                new.write.mode("append").partitionBy(self.year).parquet(self.fact_path)
         return years
 
     def sizes(self, least: list[float], edges: list[float] = fixed.SIZE_EDGES) -> dict[str, DataFrame]:
-        """Size classes per entity column from the stored sums; totals of a later entity count what the earlier ones left."""
-        combined = measured(self.spark.read.parquet(self.sums_path).groupBy(*self.entities).agg(F.sum(self.measure).alias(self.measure)))
+        """Size classes per entity column from the stored sums; totals of a later entity count what the earlier ones left.
+
+        Sums of all years are not combined first: most combinations of entities have few rows, and the totals per
+        entity are combined before their shuffle anyway."""
+        sums = self.spark.read.parquet(self.sums_path)
         out = {}
         for (entity, size), at_least in zip(self.entities.items(), least):
-            out[entity] = entity_sizes(combined, entity, size, self.measure, at_least, edges)
-            combined = semi_qualifying(combined, out[entity], {entity: entity})
+            out[entity] = entity_sizes(sums, entity, size, self.measure, at_least, edges)
+            sums = semi_qualifying(sums, out[entity], {entity: entity})
         return out
 
     def read(self, least: list[float], edges: list[float] = fixed.SIZE_EDGES, years: list[int] | None = None) -> DataFrame:

@@ -99,6 +99,43 @@ def test_other_years_are_not_rewritten(spark, tmp_path):
     assert fact.deliver(rows.limit(0)) == []
 
 
+def stored_files(folder):
+    return {str(p) for p in folder.rglob("*.parquet")}
+
+
+def test_a_delivery_writes_new_rows_only(spark, tmp_path):
+    rows = deliveries(spark, random.Random(3), 120).withColumn("metric_tons", F.when(F.col("row") % 9 > 0, F.col("metric_tons"))).cache()
+    fact = SizedFact(spark, str(tmp_path / "fact"), ENTITIES)
+    years = fact.deliver(rows)
+    before = stored_files(tmp_path)
+    assert sorted(fact.deliver(rows), key=str) == sorted(years, key=str) and stored_files(tmp_path) == before
+    more = rows.filter("year = 2012").withColumn("row", F.col("row") + 1000)
+    fact.deliver(rows.unionAll(more).unionAll(more))
+    after = stored_files(tmp_path)
+    assert {p for p in before if "/fact/fact/" in p or "year=2012" not in p} <= after
+    assert all("year=2012" in p for p in after - before)
+    stored = spark.read.parquet(str(tmp_path / "fact/fact")).select(rows.columns)
+    assert Counter(map(tuple, stored.collect())) == Counter(map(tuple, rows.unionAll(more).distinct().collect()))
+    sums = spark.read.parquet(str(tmp_path / "fact/sums")).agg(F.sum("metric_tons")).first()[0]
+    assert sums == stored.agg(F.sum("metric_tons")).first()[0]
+
+
+def test_a_delivery_that_failed_can_be_repeated(spark, tmp_path):
+    rng = random.Random(4)
+    one, two = deliveries(spark, rng, 60).cache(), deliveries(spark, rng, 60).withColumn("row", F.col("row") + 1000).cache()
+    fact = SizedFact(spark, str(tmp_path / "fact"), ENTITIES)
+    fact.deliver(one)
+    kept = fact.fact_path
+    fact.fact_path = kept + "-lost"  # the rows of the second delivery go astray after its sums
+    fact.spark.read.parquet(kept).write.partitionBy("year").parquet(fact.fact_path)
+    fact.deliver(two)
+    fact.fact_path = kept
+    fact.deliver(two)
+    columns = ["us", "abroad", "year", "metric_tons", "row", "us_size", "abroad_size"]
+    got = fact.read([400.0, 200.0], [900, 1000, 1500, 2000]).select(*columns)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, whole(one.unionAll(two), [400.0, 200.0], [900, 1000, 1500, 2000]).select(*columns).collect()))
+
+
 # ---- sketches
 
 def test_merged_sketches_equal_one_pass(spark):
