@@ -31,17 +31,20 @@ def shuffled_features(rows: DataFrame, key: list[str], repeats: int, seed: int,
     the next one in hash order, the last of a bucket those of the first row of the next
     bucket that has rows, and the last of all those of the first. That is one cycle through
     all rows, so it permutes every feature, whatever the number of rows.
+
+    The shuffled copies carry the features once, as numbers, and of the columns only what the caller
+    reads: rows of one hash are told apart by their features, so that ``key`` need not travel.
     """
     base = rows.select("*", vector_to_array(features).alias("_f")) \
         .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     h = F.xxhash64(*key, "repeat", F.lit(seed))
     base = base.withColumns({"_h": h, "_bucket": F.pmod(F.xxhash64(h, F.lit("bucket")), F.lit(buckets))})
-    firsts = base.groupBy("repeat", "_bucket").agg(F.min_by("_f", F.struct("_h", *key)).alias("_first"))
+    firsts = base.groupBy("repeat", "_bucket").agg(F.min(F.struct("_h", "_f")).alias("_first"))
     # at most one row per bucket and repeat
     ring = W.partitionBy("repeat").orderBy("_bucket")
     following = F.coalesce(F.lead("_first").over(ring), F.first("_first").over(ring.rowsBetween(W.unboundedPreceding, 0)))
-    firsts = firsts.select("repeat", "_bucket", following.alias("_after"))
-    order = W.partitionBy("repeat", "_bucket").orderBy("_h", *key)
+    firsts = firsts.select("repeat", "_bucket", following["_f"].alias("_after"))
+    order = W.partitionBy("repeat", "_bucket").orderBy("_h", "_f")
     ordered = base.withColumn("_lead", F.lead("_f").over(order)).join(firsts, ["repeat", "_bucket"])
     return ordered.withColumn("_other", F.coalesce("_lead", "_after")).drop("_h", "_bucket", "_lead", "_after")
 
