@@ -7,8 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.operators import explain, features
+from quayside.plans import catalog, studies
+from quayside.plans.registry import QUERIES
 from quayside.plans.views import Tables
 
+catalog.load()
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("tables")
@@ -34,6 +39,17 @@ def folder(spark, tmp_path_factory):
     return str(base)
 
 
+def reads(df, table):
+    return any(f"/{table}.parquet/" in f for f in df.inputFiles())
+
+
+def test_the_period_study_joins_shipments_once(spark, folder, monkeypatch):
+    seen = []
+    monkeypatch.setattr(studies, "period_study", lambda fact, *_, **__: seen.append(fact) or (None, None))
+    QUERIES["period_study"](spark, folder)
+    assert not reads(seen[0], "lineitem") and seen[0].count() > 0
+
+
 def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
