@@ -163,10 +163,11 @@ IDLE_ZEROS = ["teus", "metric_tons", "vin_quantity", "tcvusd", "us_unemployment_
 
 
 def weekly_shocks(fact: DataFrame, weekly: DataFrame, state: str = "us_port_state",
-                  traded: str = "hs_mixed") -> DataFrame:
+                  traded: str = "hs_mixed", seen: DataFrame | None = None) -> DataFrame:
     """Weekly counts on every shipment of the state and week, 0 where there are none, and a
-    row of zeros for weeks with counts but no trade. ``traded`` is never null in the fact."""
-    joined = outer_period_join(fact, weekly.withColumnRenamed("state_code", state), [state, "year_week"])
+    row of zeros for weeks with counts but no trade. ``traded`` is never null in the fact;
+    ``seen`` has the states and weeks of the fact, if they are known."""
+    joined = outer_period_join(fact, weekly.withColumnRenamed("state_code", state), [state, "year_week"], seen)
     idle = F.col(traded).isNull()
     zeros = {c: F.when(idle, F.coalesce(c, F.lit(0))).otherwise(F.col(c)) for c in IDLE_ZEROS if c in joined.columns}
     counts = {c: F.coalesce(c, F.lit(0)) for c in ("cases_weekly", "deaths_weekly")}
@@ -270,8 +271,8 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 def standardise_names(fact: DataFrame, side: SideTables) -> DataFrame:
     """Curated names instead of raw ones; rows with a name no map has are dropped. The country
     of the foreign company is optional: rows with a code no map has stay, without one."""
-    out = standardise(fact, keyed(side.us_companies, "us_company"), "us_company", "us_company_clustered")
-    out = standardise(out, keyed(side.foreign_companies, "foreign_company"), "foreign_company", "foreign_company_clustered")
+    out = standardise(fact, measured(keyed(side.us_companies, "us_company")), "us_company", "us_company_clustered")
+    out = standardise(out, measured(keyed(side.foreign_companies, "foreign_company")), "foreign_company", "foreign_company_clustered")
     out = standardise(out, keyed(side.carriers.select("carrier", "carrier_size"), "carrier"), "carrier", "carrier_size")
     ports = side.us_ports.select("us_port", "us_port_clustered", "us_port_coastal_region")
     out = enrich(out, keyed(ports, "us_port"), {"us_port": "us_port"}, "inner")
@@ -340,10 +341,13 @@ def build_warehouse(imports: DataFrame, exports: DataFrame, side: SideTables,
                     min_total: float = fixed.MIN_ENTITY_TONS, last_count_year: int | None = 2020) -> DataFrame:
     """The whole build. Weekly counts after ``last_count_year`` are left out, none if it is None.
 
-    The fact is written to the shared folder twice: before the company totals and after
+    The fact is written to the shared folder twice: before the company totals and before
     the outlier passes. Both parts read their input several times, and a table costs less
-    than the joins and the distinct before it. Baselines depend on the weekly counts
-    alone, so they are taken there, on a few rows per state, and come along in the join.
+    than the joins and the distinct before it; the outlier passes read one column of it
+    each, and what they leave is a filter by known bounds. Baselines depend on the weekly
+    counts alone, so they are taken there, on a few rows per state, and come along in the
+    join. States and weeks without trade are found on the distinct ones of the fact, a
+    small table that goes through the same joins.
     """
     # copies go with the distinct before the totals
     raw = union_conformed(conform_imports(imports), conform_exports(exports))
@@ -354,21 +358,22 @@ def build_warehouse(imports: DataFrame, exports: DataFrame, side: SideTables,
         "foreign_country_clustered": recode("foreign_country_clustered", fixed.COUNTRY_NAMES),
         "foreign_company_country_clustered": recode("foreign_company_country_clustered", fixed.COUNTRY_NAMES)})
     fact = settle(dedupe(fact.drop("us_company_state", "us_company_agg")), "conformed")
-    fact = size_entities(fact, {"us_company_clustered": "us_company_size",
-                                "foreign_company_clustered": "foreign_company_size"}, least=[min_total, min_total])
+    fact = settle(size_entities(fact, {"us_company_clustered": "us_company_size",
+                                       "foreign_company_clustered": "foreign_company_size"}, least=[min_total, min_total]), "sized")
     fact = outlier_chain(fact, [("z", "metric_tons", fixed.OUTLIER_Z), ("cap", "metric_tons", fixed.MAX_SHIPMENT_TONS),
                                 ("z", "teus", fixed.OUTLIER_Z), ("z", "tcvusd", fixed.OUTLIER_Z)])
-    fact = settle(fact, "cleaned")
     fact = time_features(fact.withColumn("ship_date", parse_date("date", "yyyyMMdd")).drop("date"), "ship_date")
     fact = enrich_economic(fact, side.unemployment, side.tariffs, side.currencies, members=side.members) \
         .drop("hs_class", "year_month", "foreign_country_clustered")
-    states = keyed(side.states.select("state", "state_code", "state_region"), "state_code")
-    fact = enrich(fact, states, {"us_port_state": "state_code"})
-    fact = preserve_dim(fact, keyed(side.closures, "state"), {"state": "state"})
+    states = measured(keyed(side.states.select("state", "state_code", "state_region"), "state_code"))
+    closures = keyed(side.closures, "state")
+    seen = measured(fact.select("us_port_state", "year_week").distinct())
+    fact, seen = (enrich(rows, states, {"us_port_state": "state_code"}) for rows in (fact, seen))
+    fact, seen = (preserve_dim(rows, closures, {"state": "state"}, seen) for rows in (fact, seen))
     weekly = weekly_cases(side.cases, side.states, last_count_year)
     for value, names in BASELINES.items():
         weekly = first_period_change(weekly, "state_code", "date_weekly", value, *names)
-    fact = closure_lead(weekly_shocks(fact, weekly))
+    fact = closure_lead(weekly_shocks(fact, weekly, seen=seen))
     for names in BASELINES.values():
         fact = fill_undated(fact, "date_weekly", *names)
     return dedupe(fact.drop("vin_quantity", "us_company_clustered", "foreign_company_clustered",

@@ -6,8 +6,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quayside.operators import explain, features
+from quayside.operators import explain, features, joins
 from quayside.plans import catalog, studies
+from quayside.plans.catalog import composites
 from quayside.plans.registry import QUERIES
 from quayside.plans.views import Tables
 
@@ -73,3 +74,53 @@ def test_keys_do_not_travel_with_shuffled_copies(spark, capsys):
     nodes = capsys.readouterr().out.split("\n\n")
     moved = [n for n in nodes if ") Exchange" in n and "Input [" in n]
     assert moved and not [n for n in moved if "the_key#" in n]
+
+
+def test_name_maps_of_the_build_have_a_known_size(spark, folder):
+    side = composites.side_tables(Tables(spark, folder))
+    for names, fillers in ((side.us_companies, 1), (side.foreign_companies, 2)):
+        assert int(str(names._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
+        assert names.filter(F.col(names.columns[0]).startswith("Not ")).count() == fillers
+
+
+def test_tariffs_and_prices_come_from_one_pass(spark, folder):
+    rows = [(n, h, y, s, datetime(y, m, 9), g, v, d, t) for n in (1, 2, 9, None) for h in (2, None) for y, m in ((1996, 1), (1996, 2), (1997, 1))
+            for s, g, v, d, t in (("F", "A", 10.0, 0.1, 0.05), ("F", "B", 1e4, 0.05, 0.07), ("O", "C", 30.0, 0.2, 0.06), (None, "D", 2e3 + m, 0.1, 0.08),
+                                  ("F", None, None, None, None), ("O", "E", 99.0, 0.0, 0.0))][7:]
+    schema = "foreign_nation int, hs_class int, year int, status string, ship_date timestamp, segment string, value_usd double, discount double, tax double"
+    shipments = spark.createDataFrame(rows, schema).repartition(5)
+    values = composites.extreme_values(shipments)
+    assert "SortAggregate" not in values._jdf.queryExecution().executedPlan().toString()
+    side = composites.side_tables(Tables(spark, folder), values)
+    tariffs, prices = {}, {}
+    most = lambda old, new: new if old is None or (new is not None and new > old) else old
+    for n, h, y, s, at, g, v, d, t in rows:
+        if n not in (1, 2):
+            continue
+        if d is not None and d >= 0.1 and t >= 0.05:
+            old = tariffs.get((f"NATION_{n}", h, y), (None, None))
+            tariffs[f"NATION_{n}", h, y] = most(old[0], v), most(old[1], s)
+        if s == "F":
+            old = prices.get((f"NATION_{n}", f"{at:%Y-%m}"), (None, None))
+            prices[f"NATION_{n}", f"{at:%Y-%m}"] = most(old[0], g), most(old[1], t)
+    expected = [(*k, f"{v:,.2f}", "Yes" if s == "F" else "No", "Yes" if k[0] < "NATION_2" else "No") for k, (v, s) in tariffs.items()]
+    columns = ["country", "hs_family", "tariff_year", "average_tariff", "free_trade_agreement_with_us", "european_union"]
+    assert Counter(map(tuple, side.tariffs.select(columns).collect())) == Counter(expected)
+    assert Counter(map(tuple, side.currencies.select("country", "month_year", "currency", "price").collect())) == Counter(
+        (*k, *v) for k, v in prices.items())
+
+
+def test_sides_without_trade_are_found_on_the_known_keys(spark):
+    fact = spark.createDataFrame([("a", "w1", 1), ("a", "w1", 2), ("b", None, 3), (None, "w2", 4)], "k string, w string, n int")
+    dim = spark.createDataFrame([("a", "w1", "A"), ("c", "w2", "C"), ("b", "w3", "B")], "k string, w string, name string")
+    seen = fact.select("k", "w").distinct()
+    as_bag = lambda df: Counter(map(tuple, df.collect()))
+    for join, plain, known in (("preserve_dim", (dim.drop("w"), {"k": "k"}), (dim.drop("w"), {"k": "k"}, seen)), ("outer_period_join", (dim, ["k", "w"]), (dim, ["k", "w"], seen))):
+        assert as_bag(getattr(joins, join)(fact, *known)) == as_bag(getattr(joins, join)(fact, *plain))
+
+
+def test_what_is_joined_first_changes_no_rows(spark, folder):
+    t = Tables(spark, folder)
+    plain, other = t.shipments("part", "supplier", "customer"), t.shipments("part", "supplier", "customer", first="part")
+    assert plain.columns == other.columns
+    assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, other.collect()))
