@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -134,13 +135,10 @@ def crowded_buckets(texts: DataFrame, window: int, partitions: int) -> dict[int,
     return {b: max(2, -(-PARTS_EACH * k * partitions // total)) for b, k in counts.filter(F.col("n") >= least).collect()}
 
 
-def _windows(text: bytes, window: int) -> tuple[list[bytes], int]:
-    """The windows of an unpacked super-k-mer, and how many words it has."""
-    words = text.split(b" ")
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    begin = np.append(0, stops[:-1] + 1).tolist()
-    stops = stops.tolist()
-    return [text[begin[i]:stops[i + window - 1]] for i in range(len(words) - window + 1)], len(words)
+def _windows(text: bytes, window: int) -> Iterator[bytes]:
+    """The windows of an unpacked super-k-mer. It has few words: a run ends when its minimiser leaves the window."""
+    ends = [0, *accumulate(map(len, text.split(b" ")))]  # without the blanks before them
+    return (text[ends[i] + i:ends[i + window] + i + window - 1] for i in range(len(ends) - window))
 
 
 class _Found:
@@ -150,12 +148,12 @@ class _Found:
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def gone(self, key: tuple, first: int, last: int):
-        self.rows.append((*key, first, last, None, None))
+    def gone(self, row: tuple, first: int, last: int):
+        self.rows.append((*row[:3], first, last, None, None))
 
-    def pending(self, key: tuple, first: int, last: int, content: bytes):
+    def pending(self, row: tuple, first: int, last: int, content: bytes):
         h1, h2 = xxhash.xxh3_64_intdigest(content) - (1 << 63), xxhash.xxh64_intdigest(content, 7) - (1 << 63)
-        self.rows.append((*key, first, last, h1, h2))
+        self.rows.append((*row[:3], first, last, h1, h2))
 
     def take(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows, strict=True)) or [()] * 7
@@ -167,38 +165,38 @@ class _Found:
 def _judge(rows: list[tuple], unpack, window: int, partial: bool, found: _Found) -> None:
     """Super-k-mers of one bucket, or of a part of it, in document order: which of their windows came before.
 
-    Equal strings are settled at once; the windows of the different ones are sorted, and
-    all of equal windows but the first go. In a part of a bucket (``partial``) the first
-    ones are reported too, since other parts may hold earlier ones.
+    Equal strings are settled at once; of the windows of the different ones, all go that an
+    earlier one equals. In a part of a bucket (``partial``) the first ones are reported
+    too, since other parts may hold earlier ones.
     """
     if len(rows) < 2 and not (rows and partial):
         return
     different, extents = [], {}
-    for at, (*key, start, packed) in enumerate(rows):
+    for row in rows:
+        packed = row[4]
         if packed in extents:
-            found.gone(key, start, start + extents[packed])
+            found.gone(row, row[3], row[3] + extents[packed])
             continue
-        windows, n = _windows(unpack(packed), window)
-        extents[packed] = n
-        different.append((at, windows))
+        text = unpack(packed)
+        extents[packed] = text.count(b" ") + 1
+        different.append((row, text))
     if len(different) == 1 and not partial:
         return
-    ordered = sorted((content, at, i) for at, windows in different for i, content in enumerate(windows))
-    gone, before = [], None
-    for content, at, i in ordered:
-        if content == before:
-            gone.append((at, i))
-        elif partial:
-            *key, start, _ = rows[at]
-            found.pending(key, start + i, start + i + window, content)
-        before = content
-    gone.sort()
-    run = 0
-    for k in range(1, len(gone) + 1):  # neighbouring windows become one stretch
-        if k == len(gone) or gone[k][0] != gone[run][0] or gone[k][1] != gone[k - 1][1] + 1:
-            *key, start, _ = rows[gone[run][0]]
-            found.gone(key, start + gone[run][1], start + gone[k - 1][1] + window)
-            run = k
+    before: set = set()
+    for row, text in different:
+        start, run = row[3], None  # neighbouring windows become one stretch
+        for i, content in enumerate(_windows(text, window), start):
+            if content in before:
+                run = i if run is None else run
+                continue
+            before.add(content)
+            if run is not None:
+                found.gone(row, run, i - 1 + window)
+                run = None
+            if partial:
+                found.pending(row, i, i + window, content)
+        if run is not None:
+            found.gone(row, run, start + extents[row[4]])
 
 
 def _search(dictionary: bytes | None, window: int, chunk: int):
@@ -210,30 +208,33 @@ def _search(dictionary: bytes | None, window: int, chunk: int):
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(**_codec(dictionary)).decompress
-        found, held, current, parted, last = _Found(), [], None, False, None
-        for batch in batches:
-            if not batch.num_rows:
+        found, held, current, parted, last = _Found(), [], None, False, ()
+        for batch in rows_of(batches, chunk):
+            places = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "part", *_KEY, "start")]
+            again = np.append(tuple(c[0] for c in places) == last, np.all([c[1:] == c[:-1] for c in places], axis=0))
+            last = tuple(c[-1] for c in places)
+            once = np.flatnonzero(~again)  # repeated rows count once
+            if not len(once):
                 continue
-            buckets, parts = batch.column("bucket").to_numpy(), batch.column("part").to_numpy()
+            buckets, parts = places[0][once], places[1][once]
             starts = np.flatnonzero(np.append(True, (buckets[1:] != buckets[:-1]) | (parts[1:] != parts[:-1])))
-            stops = np.append(starts[1:], len(buckets))
+            sizes = np.diff(np.append(starts, len(once)))
             # buckets of one string inside a batch need no look; those at its ends may go on, and parts have others
-            look = (stops - starts > 1) | (starts == 0) | (stops == len(buckets)) | (parts[starts] >= 0)
-            for begin, stop in zip(starts[look].tolist(), stops[look].tolist(), strict=True):
-                now = int(buckets[begin]), int(parts[begin])
+            look = (sizes > 1) | (starts == 0) | (starts + sizes == len(once)) | (parts[starts] >= 0)
+            wanted = batch.take(pa.array(once[np.repeat(look, sizes)]))
+            rows = list(zip(*(wanted.column(c).to_pylist() for c in (*_KEY, "start", "packed")), strict=True))
+            stops = np.cumsum(sizes[look]).tolist()
+            for now, begin, stop in zip(zip(buckets[starts[look]].tolist(), parts[starts[look]].tolist(), strict=True), [0, *stops], stops):
                 if now != current:
                     _judge(held, unpack, window, parted, found)
-                    held, current, parted, last = [], now, now[1] >= 0, None
-                for at in range(begin, stop, chunk):
-                    part = batch.slice(at, min(chunk, stop - at))
-                    for row in zip(*(part.column(c).to_pylist() for c in (*_KEY, "start", "packed")), strict=True):
-                        if row[:4] == last:  # repeated rows count once
-                            continue
-                        last = row[:4]
-                        held.append(row)
-                        if len(held) >= chunk:
-                            _judge(held, unpack, window, True, found)
-                            held, parted = [], True
+                    held, current, parted = [], now, now[1] >= 0
+                while begin < stop:
+                    more = rows[begin:min(stop, begin + chunk - len(held))]
+                    held.extend(more)
+                    begin += len(more)
+                    if len(held) >= chunk:
+                        _judge(held, unpack, window, True, found)
+                        held, parted = [], True
                 if len(found.rows) >= 4096:
                     yield found.take()
         _judge(held, unpack, window, parted, found)

@@ -7,7 +7,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quayside.llm import alignment, search, substrings
@@ -94,6 +96,20 @@ def test_super_kmers_cover_every_window_once():
         assert all(len(k) == 1 for k in by_window.values())
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 9])
+def test_copies_are_settled_without_their_windows(monkeypatch, size):
+    monkeypatch.setattr(substrings, "_windows", None)
+    packed = zstandard.ZstdCompressor().compress(b" ".join(b"w%d" % i for i in range(24)))
+    # a repeated row, a copy further up in one document, buckets of one string, one of them twice
+    rows = [(3, -1, 1, 0), (7, -1, 1, 5), (7, -1, 2, 5), (7, -1, 2, 5), (7, -1, 2, 40), (7, -1, 3, 5), (9, -1, 4, 0), (9, -1, 4, 0), (11, -1, 5, 0)]
+    buckets, parts, ids, starts = zip(*rows, strict=True)
+    table = pa.table({"bucket": pa.array(buckets, pa.int64()), "part": pa.array(parts, pa.int32()), "doc_id": pa.array(ids, pa.int64()),
+                      "no_id": pa.array([False] * 9), "t1": pa.array([0] * 9, pa.int64()), "start": pa.array(starts, pa.int32()),
+                      "packed": pa.array([packed] * 9, pa.binary())})
+    found = [r for b in substrings._search(None, 20, 8192)(table.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["first"], r["last"], r["h1"]) for r in found] == [(2, 5, 29, None), (2, 40, 64, None), (3, 5, 29, None)]
+
+
 def test_stretches_of_grams_join(monkeypatch):
     rng = random.Random(8)
     found = [b"w%d" % rng.randrange(9) for _ in range(500)]
